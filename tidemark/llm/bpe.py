@@ -23,7 +23,7 @@ _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Pretokens whose ids are kept; beyond it the table starts afresh.
-TABLE_ROWS = 1 << 20
+TABLE_ROWS = 1 << 21
 
 
 @functools.lru_cache(1)
