@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, warc
+from . import exact_dedup, lm_score, mixing, near_dedup, packing, quality, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.train_and_score(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, name = quality.verdicts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
