@@ -47,7 +47,11 @@ def corpus():
     return texts
 
 
-def test_classes_match_brute_force(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_classes_match_brute_force(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(near_dedup, "SMALL_MEMBERS", 40)
+        monkeypatch.setattr(near_dedup, "SMALL_LINKS", 10)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, 1, "b") for i, t in enumerate(texts)], "doc_id long, text string, n int, node string")
     got = near_dedup.classes(docs).collect()
@@ -70,7 +74,9 @@ def test_null_and_repeated_ids_and_empty(spark):
     assert near_dedup.classes(docs.limit(0)).count() == 0 and near_dedup.keep_one(docs.limit(0)).count() == 0
 
 
-def test_chain_is_one_component(spark):
+@pytest.mark.parametrize("small", [1 << 19, 3])
+def test_chain_is_one_component(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL_LINKS", small)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in near_dedup.components(links).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 90: 90, 95: 90, 100: 90}

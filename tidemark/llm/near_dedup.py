@@ -8,8 +8,8 @@ agree at a coordinate with the probability of their weighted Jaccard similarity,
 Documents with equal shingle sets are one node. Nodes that agree in a band of coordinates meet in a bucket. No bucket
 emits its pairs: each member is compared with the bucket's leader, links merge components, and only buckets whose
 members still lie in several components go on to the next round, without leaders already compared with all, and with
-twice as many new ones. The rounds end when no bucket is left, so each pair of a bucket is compared or known to be
-connected. Similarities are exact; a pair at 0.8 shares a band with probability 0.9996.
+twice as many new ones. When the buckets left fit in one task by a checked size, that task compares the rest. So each
+pair of a bucket is compared or known to be connected. Similarities are exact; a pair at 0.8 shares a band with probability 0.9996.
 
 Defined cases: null, empty and blank texts have no shingles; each is a class of its own. Texts of under five words are
 one shingle. Repeated rows are copies. A null id sorts last; of a class the smallest id stays. Extra columns are
@@ -31,6 +31,8 @@ from .words import Words, mix, runs
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
+#: What one task takes at most: links to connect, and the last buckets' members with their sets.
+SMALL_LINKS, SMALL_MEMBERS, SMALL_BYTES = 1 << 19, 1 << 17, 24 << 20
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -177,24 +179,97 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def _union_find(edges: Iterator[tuple[int, int]]) -> dict[int, int]:
+    """The least node that each node of these edges is connected to."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(parent)}
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes of some links (a, b): the least node that each is connected to.
 
-    In each turn every node moves to its least neighbour and links are redrawn between the places moved to.
+    In each turn every node moves to its least neighbour and links are redrawn between the places moved to. Once their
+    number is within ``SMALL_LINKS``, which bounds the task, one task ends the work.
     """
-    edges = settle(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = settle(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = None
-    while not edges.isEmpty():
-        moves = settle(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"), F.count("*").alias("degree")), "moves")
-        if label is None:
-            label = moves.select(F.col("a").alias("node"), F.col("to").alias("label"))
-        else:
-            step = label.join(moves.select(F.col("a").alias("label"), "to"), "label", "left")
-            label = settle(step.select("node", F.coalesce("to", "label").alias("label")), "label")
-        half = join_groups(edges, moves, "a", "degree").select(F.col("b").alias("c"), F.col("to").alias("x"))
-        again = moves.select(F.col("a").alias("c"), F.col("to").alias("y"), "degree")
-        edges = settle(join_groups(settle(half, "half"), again, "c", "degree").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-    return label if label is not None else links.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+    while (n := edges.count()) > SMALL_LINKS:
+        ways = edges.union(edges.select("b", "a"))
+        moves = settle(ways.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"), F.count("*").alias("degree")), "moves")
+        step = moves.select("a", "to")
+        label = step.toDF("node", "label") if label is None else _moved(label, step.toDF("label", "to"))
+        half = settle(join_groups(edges, moves, "a", "degree").select("b", F.col("to").alias("x")), "half")
+        ends = join_groups(half, moves.select(F.col("a").alias("b"), F.col("to").alias("y"), "degree"), "b", "degree").filter("x <> y")
+        edges = settle(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        label = settle(label, "label")
+
+    def end(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = _union_find(zip(part["a"].tolist(), part["b"].tolist()))
+        return pd.DataFrame({"node": list(found), "label": list(found.values())}, dtype="int64")
+
+    last = edges.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(end, "node long, label long") if n or label is None else None
+    if label is None:
+        return last
+    return _moved(label, last.toDF("label", "to")) if last is not None else label
+
+
+def _moved(label: DataFrame, step: DataFrame) -> DataFrame:
+    """Labels (node, label) after some of them have moved (label, to)."""
+    return label.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _finish(active: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """All links that join components of the remaining buckets, found in one task; the caller has checked their size."""
+
+    def run(_: tuple, members: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        known = {n: np.frombuffer(d, np.uint64) for n, d in zip(data["node"].tolist(), data["data"])}
+        parent, links, seen = {}, [], set()
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def linked(a, b):
+            if (a, b) in seen or (b, a) in seen:
+                return False
+            seen.add((a, b))
+            x, y = known[a], known[b]
+            if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+                return False
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            return same >= least * (len(x) + len(y) - same) - 1e-9
+
+        for _, own in members.groupby("bucket"):
+            groups: dict[int, list] = {}
+            for node, label in zip(own["node"].tolist(), own["label"].tolist()):
+                groups.setdefault(find(label), []).append((node, label))
+            done: list[list] = []
+            for group in groups.values():
+                rest = []
+                for other in done:
+                    pair = next(((a, b) for a in group for b in other if linked(a[0], b[0])), None)
+                    if pair:
+                        links.append((pair[0][0], pair[1][0]))
+                        parent[find(pair[0][1])] = find(pair[1][1])
+                        group = group + other
+                    else:
+                        rest.append(other)
+                done = [*rest, group]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    one = lambda df: df.withColumn("one", F.lit(0)).groupBy("one")
+    return one(active.select("bucket", "node", "label")).cogroup(one(sets)).applyInPandas(run, "a long, b long")
 
 
 def classes(docs: DataFrame, least: float = LEAST, weighted: bool = False, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,19 +290,23 @@ def classes(docs: DataFrame, least: float = LEAST, weighted: bool = False, n_ban
     while True:
         placed = members.join(label, "node")
         state = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        members_now = settle(placed.join(state.select("bucket"), "bucket", "left_semi"), "active")
-        if members_now.isEmpty():
+        active = settle(placed.join(state.select("bucket"), "bucket", "left_semi"), "active")
+        left = active.count()
+        if not left:
             break
-        leaders = members_now.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn)).alias("part")).agg(
+        if left <= SMALL_MEMBERS:
+            mine = settle(sets.join(active.select("node").distinct(), "node", "left_semi"), "mine")
+            if (mine.agg(F.sum(F.length("data"))).first()[0] or 0) <= SMALL_BYTES:
+                label = _merge(label, settle(_finish(active, mine, least), "links"))
+                break
+        leaders = active.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn)).alias("part")).agg(
             F.min(F.struct("node", "n", "label")).alias("leader"), F.count("*").alias("size")
         )
         leaders = settle(leaders.select("bucket", F.col("leader.node").alias("b"), F.col("leader.n").alias("m"), F.col("leader.label").alias("of"), "size"), "leaders")
-        met = join_groups(members_now, leaders, "bucket", "size").filter((F.col("label") != F.col("of")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9))
-        pairs = met.select(F.col("node").alias("a"), "b").distinct()
-        links = settle(_linked(pairs, sets, least), "links")
-        members = members_now.join(leaders.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").drop("label")
-        merged = _merge(label, links)
-        label = settle(merged, "label") if merged is not None else label
+        met = join_groups(active, leaders, "bucket", "size").filter((F.col("label") != F.col("of")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9))
+        links = settle(_linked(met.select(F.col("node").alias("a"), "b").distinct(), sets, least), "links")
+        members = active.join(leaders.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").drop("label")
+        label = settle(_merge(label, links), "label")
         turn += 1
     named = settle(nodes.join(label, "node", "left").select("node", "top", "docs", F.coalesce("label", "node").alias("label")), "named")
     groups = named.groupBy("label").agg(F.min("top").alias("first"), F.sum("docs").alias("class_size"), F.count("*").alias("size"))
@@ -238,15 +317,11 @@ def classes(docs: DataFrame, least: float = LEAST, weighted: bool = False, n_ban
     return found.unionByName(blank)
 
 
-def _merge(label: DataFrame, links: DataFrame) -> DataFrame | None:
-    """Labels after links between nodes; None if there are no links."""
-    if links.isEmpty():
-        return None
+def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links between nodes."""
     of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
     ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    found = components(ends)
-    moved = label.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-    return moved.select("node", F.coalesce("to", "label").alias("label"))
+    return _moved(label, components(ends).toDF("label", "to"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
