@@ -32,7 +32,7 @@ def parse_points(docs: DataFrame, value: str = "quantity") -> DataFrame:
     points = periods.select(*docs.columns, "businessType", "psr", "p.resolution", F.col("p.timeInterval.start").alias("begin"), F.explode("p.Point").alias("q"))
     step = F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv])[F.col("resolution")]
     step = F.coalesce(step, F.raise_error(F.concat(F.lit("Unknown resolution: "), F.col("resolution"))).cast("int"))
-    ts = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp("begin")) + (F.col("q.position") - 1) * step)
+    ts = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.regexp_replace("begin", "Z$", ""), "yyyy-MM-dd'T'HH:mm[:ss]")) + (F.col("q.position") - 1) * step)
     number = F.regexp_replace(F.col("q")[value], ",", "").cast("double")
     return points.select(*[c for c in docs.columns if c != "doc"], ts.alias("ts"), number.alias("value"), "resolution", "psr", F.col("businessType").alias("business"))
 
