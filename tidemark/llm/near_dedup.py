@@ -32,7 +32,7 @@ from .words import Words, mix, runs
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 #: What one task takes at most: links to connect, and the last buckets' members with their sets.
-SMALL_LINKS, SMALL_MEMBERS, SMALL_BYTES = 1 << 19, 1 << 17, 24 << 20
+SMALL_LINKS, SMALL_MEMBERS, SMALL_BYTES = 1 << 19, 1 << 19, 64 << 20
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
