@@ -164,6 +164,12 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that break no rule."""
+    """The rows of ``docs``, all columns, that break no rule.
+
+    The row number beside the verdict keeps the filter above the projection; pushed below it, every rule would work
+    out all metrics anew.
+    """
     judged, name = verdicts(docs, rules, text_col)
-    return judged.filter(F.col(name)["passed"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = free_name(judged, "row__")
+    kept = judged.withColumn(row, F.monotonically_increasing_id()).filter(F.col(name)["passed"] & (F.col(row) >= 0))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
