@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_paths, shared_bpe
+from .shared import settle
 
 BLOCK = 1024
 
@@ -40,7 +41,8 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length L: documents and tokens in texts of L ids or more, the total if texts are cut at L, and the
     share of texts of at most L ids (L is that quantile's value)."""
     block = F.floor(F.col("length") / BLOCK)
-    rows = histogram.withColumn("block", block).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    # Read twice, so it is written first: else every text would be encoded twice. It has one row for each length.
+    rows = settle(histogram.withColumn("block", block).withColumn("tokens", F.col("length") * F.col("n_docs")), "histogram")
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
