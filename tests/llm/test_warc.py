@@ -38,3 +38,17 @@ def test_both_arc_versions_are_parsed(version, tmp_path, spark):
     with pytest.raises(ValueError):
         list(warc.parse_arc(body.encode()[:-20]))
     assert shared.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_payloads_of_any_encoding_are_kept(spark, tmp_path):
+    """An archive of another maker: Latin-1 payloads, no page ids, not even HTTP headers in one record."""
+    blocks = [b"HTTP/1.0 200 OK\r\n\r\n\xe9t\xe9\x00\xff", b"\xff\xfe raw", b"HTTP/1.0 404\r\n\r\n\xe9t\xe9\x00\xff"]
+    head = warc.arc_head(1, "old.arc").encode()
+    data = head + b"".join(b"\nhttp://old/%d 1.2.3.4 19970102030405 text/html %d\n%s" % (i, len(b), b) for i, b in enumerate(blocks)) + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc.gz").write_bytes(gzip.compress(data))
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {r["url"]: r for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert len(got) == 3 and all(r["intact"] and r["date"] == "1997-01-02T03:04:05Z" for r in got.values())
+    assert [got[f"http://old/{i}"]["payload_bytes"] for i in range(3)] == [5, 6, 5]
+    assert sorted(r["record_type"] for r in got.values()) == ["response", "response", "revisit"]

@@ -38,6 +38,8 @@ ARC_FIELDS = {
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _DATE = "20240101000000"
+_NO_PAGE = -(1 << 63)
+_CHUNK_BYTES = 4 << 20
 
 
 def sha1_base32(data: bytes) -> str:
@@ -138,8 +140,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of a folder of ARC files: (file, spot, url, date, page_id, head, payload, payload_bytes, payload_digest)."""
+def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """All records of a folder of ARC files: (file, spot, url, date, page_id, payload_bytes, payload_digest[, head, payload])."""
+    columns = ["file", "spot", "url", "date", "page_id", "payload_bytes", "payload_digest", *(["head", "payload"] if with_payload else [])]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,20 +150,20 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 rows, held = [], 0
                 for r in parse_arc(inflate(content)):
                     head, payload, page = split_http(r.content)
-                    rows.append((name, r.offset, r.url, r.date, page, head, payload, len(payload), sha1_base32(payload)))
+                    rows.append((name, r.offset, r.url, r.date, page, len(payload), sha1_base32(payload), *([head, payload] if with_payload else [])))
                     held += len(r.content)
-                    if held > 4 << 20:
-                        yield _frame(rows)
+                    if held > _CHUNK_BYTES:
+                        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
                         rows, held = [], 0
                 if rows:
-                    yield _frame(rows)
+                    yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
 
-    return _files(spark, path).mapInPandas(parse, "file string, spot long, url string, date string, page_id long, head binary, payload binary, payload_bytes long, payload_digest string")
+    return _files(spark, path).mapInPandas(parse, "file string, spot long, url string, date string, page_id long, payload_bytes long, payload_digest string" + (", head binary, payload binary" if with_payload else ""))
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["file", "spot", "url", "date", "page_id", "head", "payload", "payload_bytes", "payload_digest"])
-    return out.assign(page_id=out["page_id"].astype("Int64"))
+def _write(records: DataFrame, end: str, path: str) -> None:
+    """Files of the records' bytes, each ended by ``end``."""
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").text(path)
 
 
 # WARC
@@ -176,11 +179,13 @@ def record_id(url: str, date: str, digest: str, page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {digest} {page_id}')}>"
 
 
-def warc_record(url, date, page_id, head: bytes, payload: bytes, digest: str, refers_to, is_revisit: bool) -> str:
-    block = head + (b"" if is_revisit else payload)
+def warc_record(r: ArcRecord, refers_to: int | None, is_revisit: bool) -> bytes:
+    """The WARC record of an ARC record: a response, or a revisit that has the HTTP header alone."""
+    head, payload, page_id = split_http(r.content)
+    digest, block = sha1_base32(payload), head if is_revisit else r.content
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(url, date, digest, page_id)}",
-        f"WARC-Date: {iso_date(date)}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(r.url, r.date, digest, page_id)}",
+        f"WARC-Date: {iso_date(r.date)}", f"WARC-Target-URI: {r.url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if page_id is not None:
@@ -190,32 +195,48 @@ def warc_record(url, date, page_id, head: bytes, payload: bytes, digest: str, re
         if refers_to is not None:
             lines.append(f"X-Refers-To-Page: {refers_to}")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines) + "\r\n\r\n" + block.decode("utf-8", "surrogatepass")
+    return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass") + block
+
+
+def warc_info(name: str) -> bytes:
+    info = "software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name, _DATE, '', None)}\r\nWARC-Date: {iso_date(_DATE)}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
+    return (head + info).encode()
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Write the WARC equivalent of a folder of ARC files.
 
     Only keys and digests are grouped; a group's response is the record with the largest page id, and a group of any
-    size is joined safely. The payloads are shuffled once, by record, to meet their record's type.
+    size is joined safely. What was decided on a file's records, a list no longer than the file, then meets the file
+    itself: the shuffle carries compressed files, not payloads. Payloads are bytes of any encoding.
     """
-    keys = settle(read_arc(spark, arc_path).select("file", "spot", "page_id", "payload_digest", "payload_bytes"), "records")
+    keys = settle(read_arc(spark, arc_path, with_payload=False), "records")
     groups = keys.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "file", "spot")).alias("top"), F.count("*").alias("n"))
     groups = groups.select("payload_digest", F.col("top.page_id").alias("refers_to"), F.col("top.file").alias("top_file"), F.col("top.spot").alias("top_spot"), "n")
-    typed = join_groups(keys.drop("payload_bytes"), groups, "payload_digest", "n")
-    is_revisit = ~((F.col("file") == F.col("top_file")) & (F.col("spot") == F.col("top_spot")))
-    typed = typed.select("file", "spot", "refers_to", is_revisit.alias("is_revisit"))
+    typed = join_groups(keys.select("file", "spot", "payload_digest"), groups, "payload_digest", "n")
+    # Records not listed are responses.
+    revisits = typed.filter((F.col("file") != F.col("top_file")) | (F.col("spot") != F.col("top_spot")))
+    listed = revisits.groupBy("file").agg(F.collect_list("spot").alias("spots"), F.collect_list(F.coalesce("refers_to", F.lit(_NO_PAGE))).alias("refers"))
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        info = "software: tidemark\r\nformat: WARC File Format 1.1\r\n"
-        name = f"part-{TaskContext.get().partitionId():05d}.warc"
-        yield pd.DataFrame({"value": [f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name, _DATE, '', None)}\r\nWARC-Date: {iso_date(_DATE)}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}"]})
-        for b in batches:
-            none = lambda x: None if pd.isna(x) else int(x)
-            yield pd.DataFrame({"value": [warc_record(r.url, r.date, none(r.page_id), r.head, r.payload, r.payload_digest, none(r.refers_to), r.is_revisit) for r in b.itertuples(index=False)]})
+        rows = [warc_info(f"part-{TaskContext.get().partitionId():05d}.warc")]
+        held = 0
+        for batch in batches:
+            for content, spots, refers in zip(batch["content"], batch["spots"], batch["refers"]):
+                at = {} if spots is None else dict(zip(spots.tolist(), refers.tolist()))
+                for r in parse_arc(inflate(content)):
+                    refers_to = at.get(r.offset)
+                    rows.append(warc_record(r, None if refers_to == _NO_PAGE else refers_to, r.offset in at))
+                    held += len(rows[-1])
+                    if held > _CHUNK_BYTES:
+                        yield pd.DataFrame({"value": rows})
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame({"value": rows})
 
-    whole = read_arc(spark, arc_path).join(typed, ["file", "spot"]).select("url", "date", "page_id", "head", "payload", "payload_digest", "refers_to", "is_revisit")
-    whole.mapInPandas(records, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    whole = _files(spark, arc_path).join(listed, F.col("path") == F.col("file"), "left").select("content", "spots", "refers")
+    _write(whole.mapInPandas(records, "value binary"), "\r\n\r\n", warc_path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
