@@ -164,11 +164,10 @@ def classify(spans: DataFrame) -> tuple[DataFrame, dict]:
     if not table:
         return voted.withColumn("probability", F.lit(0.0)), {}
     learned = {kind: reliabilities(sorted(rows, key=str)) for kind, rows in sorted(table.items())}
-    posts = [(kind, *[-1 if x is None else x for x in v], float(p)) for kind, (_, _, post) in learned.items() for v, p in post.items()]
-    spark = spans.sparkSession
-    known = spark.createDataFrame(posts, "kind string, " + ", ".join(f"v_{n} int" for n in names) + ", posterior double")
-    on = [voted["kind"] == known["kind"], *[F.coalesce(F.col(f"vote_{n}"), F.lit(-1)) == F.col(f"v_{n}") for n in names]]
-    soft = voted.withColumn("features", _features()).join(F.broadcast(known), on).drop(known["kind"])
+    posts = [(":".join([kind, *["?" if x is None else str(x) for x in v]]), float(p)) for kind, (_, _, post) in learned.items() for v, p in post.items()]
+    posterior = F.create_map(*[F.lit(x) for pair in posts for x in pair])
+    key = F.concat_ws(":", "kind", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in columns])
+    soft = voted.withColumn("features", _features()).withColumn("posterior", F.element_at(posterior, key))
     rows = soft.select("posterior", F.explode("features").alias("f")).groupBy("f").agg(F.sum("posterior").alias("p"), F.count("*").alias("n")).collect()
     total, kinds = defaultdict(lambda: [0.0, 0.0]), {}
     for r in rows:
