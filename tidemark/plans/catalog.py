@@ -1,6 +1,7 @@
 """Registered queries of the time-series engine and their SQL twins.
 
-All run over whole tables. The hourly panel is built from ``events`` (price: mean value, load: rows of each hour), the
+All run over whole tables but ten, which take the user group ``SOME`` and whose SQL says so; each of the ten has a twin named
+``..._all`` that does the same over a panel of minutes of all events. The hourly panel is built from ``events`` (price: mean value, load: rows of each hour), the
 daily one from ``orders``. Money is summed as decimals and results are rounded the same way in both engines, so values
 compare exactly; instants are returned as text.
 """
@@ -37,11 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hourly(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+def hourly(spark: SparkSession, sf_dir: str, where: str | None = None, unit: str = "hour") -> DataFrame:
     events = table(spark, sf_dir, "events")
     rows = events.filter(where) if where else events
     money = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
-    return rows.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")).agg((money / F.count("value")).alias("price"), F.count("*").alias("load"))
+    return rows.groupBy(F.date_trunc(unit, F.col("ts").cast("timestamp")).alias("ts")).agg((money / F.count("value")).alias("price"), F.count("*").alias("load"))
 
 
 #: A user group whose hours have gaps at every scale.
@@ -56,6 +57,8 @@ def text(df: DataFrame, *names: str) -> DataFrame:
 
 PANEL = """panel AS (SELECT date_trunc('hour', ts) AS ts, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS price, count(*) AS load FROM events GROUP BY 1)"""
 GAPPY = PANEL.replace("panel AS", "panel AS").replace("FROM events", f"FROM events WHERE {SOME}")
+#: All events by minute: many minutes have none, so there are gaps and no row is left out.
+MINUTES = PANEL.replace("date_trunc('hour', ts)", "date_trunc('minute', ts)")
 T = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -76,7 +79,9 @@ def tz_local_fields(spark, d):
     return text(df.select("ts", F.hour(local).alias("local_hour"), F.weekday(local).alias("local_weekday"), F.month(local).alias("local_month")))
 
 
-def _resample_sql(method: str, step: int = 1, only_price: bool = False) -> str:
+def _resample_sql(method: str, step: int = 1, only_price: bool = False, panel: str = GAPPY, unit: str = "HOUR") -> str:
+    size = step * {"HOUR": 3600, "MINUTE": 60}[unit]
+
     def fill(c: str) -> str:
         cast = f"CAST({c} AS DOUBLE)"
         if only_price and c == "load":
@@ -90,15 +95,19 @@ def _resample_sql(method: str, step: int = 1, only_price: bool = False) -> str:
         pt, nt = f"last_value(CASE WHEN {c} IS NOT NULL THEN s END IGNORE NULLS) OVER b", f"first_value(CASE WHEN {c} IS NOT NULL THEN s END IGNORE NULLS) OVER f"
         return f"CASE WHEN {c} IS NOT NULL THEN {cast} WHEN {on} IS NULL THEN {back} ELSE {back} + ({on} - {back}) * (s - {pt}) / ({nt} - {pt}) END"
 
-    return f"""WITH {GAPPY}, e AS (SELECT date_trunc('day', min(ts)) AS m, min(ts) AS a, max(ts) AS b FROM panel),
-g AS (SELECT unnest(generate_series(m + to_seconds(CAST(epoch(a) - epoch(m) AS BIGINT) // {step * 3600} * {step * 3600}), b, INTERVAL {step} HOUR)) AS ts FROM e),
+    return f"""WITH {panel}, e AS (SELECT date_trunc('day', min(ts)) AS m, min(ts) AS a, max(ts) AS b FROM panel),
+g AS (SELECT unnest(generate_series(m + to_seconds(CAST(epoch(a) - epoch(m) AS BIGINT) // {size} * {size}), b, INTERVAL {step} {unit})) AS ts FROM e),
 j AS (SELECT g.ts, epoch(g.ts) AS s, price, load FROM g LEFT JOIN panel USING (ts)),
 x AS (SELECT ts, {fill('price')} AS price, {fill('load')} AS load FROM j WINDOW b AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT {T.format('ts')} AS ts, round_even(price * 1000, 0) / 1000 AS price, round_even(load * 1000, 0) / 1000 AS load FROM x"""
 
 
-def _resampled(spark, d, **options):
-    df = ResampleTransformer(**options)(hourly(spark, d, SOME))
+def _minutes(spark, d) -> DataFrame:
+    return hourly(spark, d, unit="minute")
+
+
+def _resampled(spark, d, panel=None, **options):
+    df = ResampleTransformer(**options)(hourly(spark, d, SOME) if panel is None else panel)
     return df.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "price", "load")
 
 
@@ -127,6 +136,31 @@ def resample_subset_columns(spark, d):
     return _resampled(spark, d, columns="price")
 
 
+@query(_resample_sql("linear", 1, False, MINUTES, "MINUTE"))
+def resample_linear_all(spark, d):
+    return _resampled(spark, d, _minutes(spark, d), freq="1min", method="linear")
+
+
+@query(_resample_sql("ffill", 1, False, MINUTES, "MINUTE"))
+def resample_ffill_all(spark, d):
+    return _resampled(spark, d, _minutes(spark, d), freq="1min", method="ffill")
+
+
+@query(_resample_sql("bfill", 1, False, MINUTES, "MINUTE"))
+def resample_bfill_all(spark, d):
+    return _resampled(spark, d, _minutes(spark, d), freq="1min", method="bfill")
+
+
+@query(_resample_sql("ffill", 2, False, MINUTES, "MINUTE"))
+def resample_downsample_2min_all(spark, d):
+    return _resampled(spark, d, _minutes(spark, d), freq="2min", method="ffill")
+
+
+@query(_resample_sql("linear", 1, True, MINUTES, "MINUTE"))
+def resample_subset_columns_all(spark, d):
+    return _resampled(spark, d, _minutes(spark, d), freq="1min", columns="price")
+
+
 def _lag_sql(hours: dict[str, int], panel: str = GAPPY) -> str:
     joins = " ".join(f"LEFT JOIN panel l{i} ON l{i}.ts = p.ts - to_hours({h})" for i, h in enumerate(hours.values()))
     cols = ", ".join(f'{r4(f"l{i}.price")} AS "{n}"' for i, n in enumerate(hours))
@@ -149,6 +183,21 @@ def lag_forward(spark, d):
     return text(LagTransformer("price", [-2, -24], "1h")(hourly(spark, d, SOME)), "ts", "`price_h+2`", "`price_d+1`")
 
 
+@query(_lag_sql({"price_h-1": 1, "price_h-3": 3}, MINUTES))
+def lag_hour_all(spark, d):
+    return text(LagTransformer("price", [1, 3], "1h")(_minutes(spark, d)), "ts", "`price_h-1`", "`price_h-3`")
+
+
+@query(_lag_sql({"price_d-1": 24, "price_d-7": 168}, MINUTES))
+def lag_day_all(spark, d):
+    return text(LagTransformer("price", [1, 7], "1D")(_minutes(spark, d)), "ts", "`price_d-1`", "`price_d-7`")
+
+
+@query(_lag_sql({"price_h+2": -2, "price_d+1": -24}, MINUTES))
+def lag_forward_all(spark, d):
+    return text(LagTransformer("price", [-2, -24], "1h")(_minutes(spark, d)), "ts", "`price_h+2`", "`price_d+1`")
+
+
 @query(f"""WITH {PANEL} SELECT {T.format('ts')} AS ts, {r4('lead(price, 1) OVER w')} AS "price_d+1", {r4('lead(price, 2) OVER w')} AS "price_d+2" FROM panel
 WINDOW w AS (PARTITION BY hour(ts) ORDER BY ts)""")
 def target_leads(spark, d):
@@ -211,6 +260,16 @@ def continuity_gaps(spark, d):
     return text(validators.gaps(hourly(spark, d, SOME)))
 
 
+@query(f"WITH {MINUTES}, j AS (SELECT p.price, p.load, l.price AS lagged FROM panel p LEFT JOIN panel l ON l.ts = p.ts - INTERVAL 1 HOUR) SELECT 'price' AS \"column\", count(*) - count(price) AS null_count FROM j UNION ALL SELECT 'load', count(*) - count(load) FROM j UNION ALL SELECT 'price_h-1', count(*) - count(lagged) FROM j")
+def null_check_all(spark, d):
+    return validators.null_counts(LagTransformer("price", 1)(_minutes(spark, d)))
+
+
+@query(f"WITH {MINUTES}, g AS (SELECT lag(ts) OVER (ORDER BY ts) AS a, ts AS b FROM panel) SELECT {T.format('a')} AS start, {T.format('b')} AS \"end\", CAST(epoch(b) - epoch(a) AS BIGINT) AS duration FROM g WHERE epoch(b) - epoch(a) > 60")
+def continuity_gaps_all(spark, d):
+    return text(validators.gaps(_minutes(spark, d), "1min"))
+
+
 def _eda_sql(c: str) -> str:
     x = f"CAST({c} AS DOUBLE)"
     return f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", count(*) - count({c}) AS null_count, {r4(f'100.0 * (count(*) - count({c})) / count(*)')} AS null_pct, {r4(f'min({x})')} AS min, {r4(f'max({x})')} AS max, {r4(f'avg({x})')} AS mean, {r4(f'stddev_samp({x})')} AS std, {r4(f'quantile_cont({x}, 0.25)')} AS q25, {r4(f'quantile_cont({x}, 0.5)')} AS q50, {r4(f'quantile_cont({x}, 0.75)')} AS q75 FROM panel"
