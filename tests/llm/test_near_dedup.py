@@ -90,3 +90,27 @@ def test_signatures_estimate_weighted_similarity(weights):
     sig = near_dedup.signatures(owner, np.concatenate([elements[:200], elements[100:]]), np.concatenate([a, b]), 2, 4000)
     true = 100 * min(weights) / (100 * weights[0] + 100 * weights[1] + 100 * max(weights))
     assert abs((sig[0] == sig[1]).mean() - true) < 0.04
+
+
+def test_hot_and_other_leaders_of_a_bucket_meet_all_members(spark, monkeypatch):
+    """In the second round the parts of the only bucket are a hot one of two and one of a single member, its leader;
+    that leader has the only link, with the hot part's member that does not lead."""
+    monkeypatch.setattr(near_dedup, "SMALL_MEMBERS", 0)
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    tries = []
+    for _ in range(300):
+        base = text()
+        tries.append([" ".join(x) for x in (text(), text(), base, [*base[:-1], "other"])])
+    signed = near_dedup.sign(spark.createDataFrame([(i, t) for i, t in enumerate(sum(tries, []))], "doc_id long, text string"))
+    rows = sorted(signed.select("id", "node", near_dedup.F.expr("pmod(xxhash64(node, 1), 2)").alias("part")).collect())
+    for i, texts in enumerate(tries):
+        (first, _), (lead, part), (linked, part_linked), (alone, part_alone) = [r[1:] for r in rows[4 * i : 4 * i + 4]]
+        if first < min(lead, linked, alone) and lead < linked and part == part_linked != part_alone:
+            break
+    else:
+        pytest.fail("no such texts")
+    whole = near_dedup.sign
+    monkeypatch.setattr(near_dedup, "sign", lambda *a, **k: whole(*a, **k).withColumn("buckets", near_dedup.F.expr("array(7L)")))
+    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["class_id"]) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 2)]

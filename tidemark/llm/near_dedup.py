@@ -303,7 +303,7 @@ def classes(docs: DataFrame, least: float = LEAST, weighted: bool = False, n_ban
             F.min(F.struct("node", "n", "label")).alias("leader"), F.count("*").alias("size")
         )
         leaders = settle(leaders.select("bucket", F.col("leader.node").alias("b"), F.col("leader.n").alias("m"), F.col("leader.label").alias("of"), "size"), "leaders")
-        met = join_groups(active, leaders, "bucket", "size").filter((F.col("label") != F.col("of")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9))
+        met = join_groups(active, leaders, "bucket", "size", parts=True).filter((F.col("label") != F.col("of")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9))
         links = settle(_linked(met.select(F.col("node").alias("a"), "b").distinct(), sets, least), "links")
         members = active.join(leaders.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").drop("label")
         label = settle(_merge(label, links), "label")

@@ -57,14 +57,21 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, parts: bool = False) -> DataFrame:
     """Inner join of ``rows`` with one row per group, where a group may hold a third of all rows.
 
-    ``size`` is the group's number of rows. Groups of over 1/1000 of all rows number under 1000, whatever the
+    ``size`` is the group's number of rows. With ``parts`` a group has a row for each of its parts and ``size`` is the
+    part's; all parts of a group are joined the same way. Groups of over 1/1000 of all rows number under 1000, whatever the
     input's size, so these few are broadcast; all other groups are small enough for a shuffle join. ``rows`` is read
     twice, so it should be a settled table.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    wholes = groups.groupBy(key).agg(F.sum(size).alias(size)) if parts else groups
+    total = wholes.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) * HOT_SHARE > F.lit(max(total, HOT_SHARE))
-    hot, rest = groups.filter(is_hot), groups.filter(~is_hot)
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+    if parts:
+        keys = wholes.filter(is_hot).select(key)
+        hot, rest = groups.join(F.broadcast(keys), key, "left_semi"), groups.join(F.broadcast(keys), key, "left_anti")
+    else:
+        hot, rest = groups.filter(is_hot), groups.filter(~is_hot)
+        keys = hot.select(key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(keys), key, "left_anti").join(rest, key))
