@@ -57,3 +57,31 @@ def test_training_learns_a_bigram():
     net.train(classes, np.array([0, len(classes)]), noise, {}, rng)
     s = net.predicted(np.array([[0, 2]])) @ net.parts["r"].T + net.parts["b"]
     assert np.exp(s - net.log_norms(np.array([[0, 2]]))[:, None])[0, 1] > 0.8
+
+
+def test_classes_grow_with_the_corpus(spark):
+    def fitted(n):
+        return lm_score.fit(spark.createDataFrame([(f"v{i} v{i} u{i}",) for i in range(n)], "text string"), shortlist=10, table_words=50)
+
+    few, many = fitted(50), fitted(5000)
+    assert few.net.size >= 10 + 9 and many.net.size >= 10 + 95
+    code = np.array([r["code"] for r in many.counts.collect()], np.int64).view(np.uint64)
+    assert len(set(lm_score._classes(code, many.code, many.klass, many.net.size, len(many.tail))[1])) == many.net.size
+
+
+def test_whole_distribution_sums_to_one(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(20)) for _ in range(150)]
+    fitted = lm_score.fit(spark.createDataFrame([(t,) for t in texts], "text string"), shortlist=8, table_words=60)
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    docs = spark.createDataFrame([*enumerate(vocabulary), (len(vocabulary), "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, fitted).collect()}
+    net, tails, total = fitted.net, len(fitted.tail), 10 ** got[len(vocabulary)]
+    log_p = lambda ctx: net.predicted(ctx) @ net.parts["r"].T + net.parts["b"] - net.log_norms(ctx)[:, None]
+    code, _ = lm_score.tokens(next(lm_score.runs([" ".join(vocabulary)], lower=True)))
+    classes = lm_score._classes(code, fitted.code, fitted.klass, net.size, tails)[1]
+    for i in range(len(vocabulary)):
+        end = log_p(np.array([[classes[i], net.size]]))[0, classes[-1]] / math.log(10)
+        total += 10 ** (got[i] - end)
+    unseen = np.exp(log_p(np.array([[net.size, net.size]]))[0, -tails:]) / fitted.tail
+    assert len(vocabulary) > 100 and tails > 1 and total + unseen.sum() == pytest.approx(1, abs=1e-4)

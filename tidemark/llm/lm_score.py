@@ -1,7 +1,9 @@
 """LM scoring with a log-bilinear neural model trained by noise-contrastive estimation in numpy.
 
-Token counts cover the whole training corpus. The most frequent words form the model's shortlist; any other word is
-the class 'rare', within which words follow their add-one unigram frequencies, so probabilities sum to 1 over all words.
+Token counts cover the whole training corpus. The most frequent words are classes of their own. All others are dealt
+into classes, whose number grows as the square root of theirs: words of the table of frequent words by frequency, classes
+having about the same number of tokens, rarer and unseen ones by fingerprint. Every class has vectors as target and as
+context; within a class words follow their unigram frequencies, so probabilities sum to 1 over all words.
 The model predicts a word's vector from its context's vectors, each scaled by its position's diagonal matrix. Every
 task trains on its own texts from common weights with noise samples shared by a minibatch; weights are averaged over
 tasks by tokens, in a tree, after each fold of the corpus. Scoring normalises by batched matrix products, once for each
@@ -33,6 +35,8 @@ from .words import Words, runs
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 FOLDS, FOLD_RATE = 2, 0.1
 SHORTLIST, TABLE_WORDS, CONTEXT, DIM = 512, 1 << 18, 2, 16
+#: Up to so many contexts a task keeps the norms of those it has met; of more it finds them anew in each run of texts.
+NORMS = 1 << 22
 BATCH, NOISE = 1024, 64
 
 
@@ -48,7 +52,7 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LogBilinear:
-    """Classes 0..size-2 are shortlist words, size-1 is 'rare'; as a context, ``size`` is the beginning of a text."""
+    """Classes are 0..size-1; as a context, ``size`` is the beginning of a text."""
 
     size: int
     seed: int = 0
@@ -137,7 +141,10 @@ def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Fitted:
-    """A trained model with its corpus counts: ``counts`` is a table (code, n), the arrays hold its top rows by code."""
+    """A trained model with its corpus counts: ``counts`` is a table (code, n), the arrays hold its top rows by code.
+
+    All words outside the arrays are in the last classes, one for each item of ``tail``: what n + 1 is divided by there.
+    """
 
     counts: DataFrame
     total: int
@@ -146,8 +153,7 @@ class Fitted:
     n: np.ndarray
     klass: np.ndarray
     net: LogBilinear
-    rare_total: int
-    rare_distinct: int
+    tail: np.ndarray
 
 
 def held_out(id_col: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -174,22 +180,41 @@ def fit(texts: DataFrame, shortlist: int = SHORTLIST, table_words: int = TABLE_W
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "code").limit(table_words).toPandas()
     code, n = top["code"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    size = min(shortlist, len(code)) + 1
-    klass = np.minimum(np.arange(len(code)), size - 1)
+    single = min(shortlist, len(code))
+    left, beyond = int(n[single:].sum()), total - int(n.sum())
+    groups = int(np.ceil(np.sqrt(distinct - single)))
+    tails = max(1, round(groups * beyond / max(left + beyond, 1)))
+    tail = _tail(counts, code, n, tails)
+    before = np.cumsum(n[single:]) - n[single:]
+    klass = np.append(np.arange(single), single + np.unique(before * max(groups - tails, 1) // max(left, 1), return_inverse=True)[1]).astype(np.int64)
+    size = (int(klass.max()) + 1 if len(klass) else 0) + tails
     by_code = np.argsort(code)
-    known = int(n[: size - 1].sum())
-    noise = np.append(n[: size - 1], max(total - known, 1)).astype(float)
+    noise = np.append(np.bincount(klass, n, size - tails), np.maximum(tail[:, 0], 1)).astype(float)
     noise = noise / noise.sum() * 0.999 + 0.001 / size
     net = LogBilinear(size, seed)
     net.parts["b"][:] = np.log(noise)
-    out = Fitted(counts, total, distinct, code[by_code], n[by_code], klass[by_code], net, total - known, distinct - (size - 1))
+    out = Fitted(counts, total, distinct, code[by_code], n[by_code], klass[by_code], net, tail.sum(1) + 1)
     for turn in range(folds if total else 0):
         out.net = _train(texts.filter(F.pmod(F.xxhash64("text"), F.lit(folds)) == turn), out, noise, turn)
     return out
 
 
+def _tail(counts: DataFrame, code: np.ndarray, n: np.ndarray, tails: int) -> np.ndarray:
+    """Tokens and distinct words of each class of words that are not among ``code``."""
+    of = F.pmod(F.shiftright("code", 32), F.lit(tails))
+    rows = np.array(counts.groupBy(of.alias("t")).agg(F.sum("n"), F.count("*")).collect(), np.int64).reshape(-1, 3)
+    out, at = np.zeros((tails, 2), np.int64), _tail_of(code, tails)
+    out[rows[:, 0]] = rows[:, 1:]
+    np.subtract.at(out, at, np.stack([n, np.ones_like(n)], 1))
+    return out
+
+
+def _tail_of(found: np.ndarray, tails: int) -> np.ndarray:
+    return (found.view(np.int64) >> np.int64(32)) % tails
+
+
 def _train(texts: DataFrame, state: Fitted, noise: np.ndarray, turn: int) -> LogBilinear:
-    code, klass, net, start = state.code, state.klass, state.net, state.net.flat()
+    code, klass, net, start, tails = state.code, state.klass, state.net, state.net.flat(), len(state.tail)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, squares, seen = net.filled(start), {}, 0
@@ -197,7 +222,7 @@ def _train(texts: DataFrame, state: Fitted, noise: np.ndarray, turn: int) -> Log
         for batch in batches:
             for words in runs(batch["text"].tolist(), lower=True):
                 found, ptr = tokens(words)
-                own.train(_classes(found, code, klass, own.size)[1], ptr, noise, squares, rng)
+                own.train(_classes(found, code, klass, own.size, tails)[1], ptr, noise, squares, rng)
                 seen += len(found)
         if seen:
             yield pd.DataFrame({"weight": [float(seen)], "flat": [own.flat().astype("<f4").tobytes()]})
@@ -217,41 +242,45 @@ def _train(texts: DataFrame, state: Fitted, noise: np.ndarray, turn: int) -> Log
     return net.filled(np.frombuffer(found[0]["flat"], "<f4")) if found else net
 
 
-def _classes(found: np.ndarray, code: np.ndarray, klass: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _classes(found: np.ndarray, code: np.ndarray, klass: np.ndarray, size: int, tails: int) -> tuple[np.ndarray, np.ndarray]:
     """Each token's row in the table of frequent words (-1: none) and its class."""
+    outside = size - tails + _tail_of(found, tails)
     if not len(code):
-        return np.full(len(found), -1), np.full(len(found), size - 1)
+        return np.full(len(found), -1), outside
     row = np.minimum(np.searchsorted(code, found), len(code) - 1)
     row = np.where(code[row] == found, row, -1)
-    return row, np.where(row < 0, size - 1, klass[row])
+    return row, np.where(row < 0, outside, klass[row])
 
 
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row; scores are log10 probabilities of the text."""
     code, n, klass, net, size = fitted.code, fitted.n, fitted.klass, fitted.net, fitted.net.size
-    whole, rare_whole = fitted.total + fitted.distinct + 1, fitted.rare_total + fitted.rare_distinct + 1
+    whole, tails, tail_logs = fitted.total + fitted.distinct + 1, len(fitted.tail), np.log10(fitted.tail)
     base_of = np.log10((n + 1) / whole) if len(n) else np.zeros(0)
-    within = np.where(klass == size - 1, np.log10((n + 1) / rare_whole), 0.0) if len(n) else np.zeros(0)
+    within = np.log10((n + 1) / np.bincount(klass, n + 1)[klass]) if len(n) else np.zeros(0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        norms = np.full((size + 1) ** net.context, np.nan, np.float32)
+        norms = np.full((size + 1) ** net.context, np.nan, np.float32) if (size + 1) ** net.context <= NORMS else None
         for batch in batches:
             for words in runs(batch["text"].tolist(), lower=True):
                 found, ptr = tokens(words)
                 count = len(ptr) - 1
-                row, classes = _classes(found, code, klass, size)
+                row, classes = _classes(found, code, klass, size, tails)
                 contexts = net.contexts(classes, ptr)
                 index = np.zeros(len(found), np.int64)
                 for j in range(net.context):
                     index = index * (size + 1) + contexts[:, j]
-                new = np.unique(index[np.isnan(norms[index])])
-                if len(new):
-                    split = np.stack([new // (size + 1) ** (net.context - 1 - j) % (size + 1) for j in range(net.context)], 1)
+                new, at = np.unique(index if norms is None else index[np.isnan(norms[index])], return_inverse=True)
+                split = np.stack([new // (size + 1) ** (net.context - 1 - j) % (size + 1) for j in range(net.context)], 1)
+                if norms is None:
+                    norm = net.log_norms(split)[at]
+                else:
                     norms[new] = net.log_norms(split)
-                logp = (net.predicted(contexts) * net.parts["r"][classes]).sum(1) + net.parts["b"][classes] - norms[index]
+                    norm = norms[index]
+                logp = (net.predicted(contexts) * net.parts["r"][classes]).sum(1) + net.parts["b"][classes] - norm
                 is_known = row >= 0
-                logs = logp.astype(float) / np.log(10) + np.where(is_known, within[row] if len(n) else 0.0, 0.0)
+                logs = logp.astype(float) / np.log(10) + np.where(is_known, within[row] if len(n) else 0.0, -tail_logs[_tail_of(found, tails)])
                 base = np.where(is_known, base_of[row] if len(n) else 0.0, 0.0)
                 owner = np.repeat(np.arange(count), np.diff(ptr))
                 rare = np.flatnonzero(~is_known)
@@ -281,7 +310,7 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
     rest = met.groupBy("uid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(whole)))).alias("base_more"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(rare_whole)))).alias("logs_more"),
+        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs_more"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     return scored.join(rest, "uid", "left").select(
