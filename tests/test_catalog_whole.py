@@ -36,3 +36,10 @@ def test_query_takes_all_events_and_matches_its_sql(spark, events, name):
 
 def test_gaps_of_all_events(spark, events):
     assert sorted(r["duration"] for r in catalog.QUERIES["continuity_gaps_all"](spark, events).collect()) == [240, 3300, 7260, 75540]
+
+
+def test_lasso_uses_the_whole_grid_and_all_test_days(spark, events, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog.models.LassoCVModel, "run", lambda self, frame, *a: seen.append((self.n_alphas, a)) or frame.limit(0).withColumn("coefficients", catalog.F.lit(0)))
+    catalog.QUERIES["rolling_lasso_cv"](spark, events)
+    assert seen == [(100, ("2024-01-20", "2024-01-24", "price", 2))]

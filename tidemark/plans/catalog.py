@@ -434,8 +434,8 @@ def backtest_mae_by_horizon(spark, d):
 @query()
 def rolling_lasso_cv(spark, d):
     frame = LagTransformer("price", [1, 2, 7], "1D")(ResampleTransformer("1h", "linear")(hourly(spark, d)))
-    model = models.LassoCVModel(["price_d-1", "price_d-2", "load"], TW, "lasso", n_alphas=20)
-    return model.run(frame, TEST[0], TEST[0], "price", 2).drop("coefficients")
+    model = models.LassoCVModel(["price_d-1", "price_d-2", "load"], TW, "lasso")
+    return model.run(frame, *TEST, "price", 2).drop("coefficients")
 
 
 @query(f"""WITH {PANEL}, w AS (SELECT ts, price, avg(price) OVER x AS m, stddev_samp(price) OVER x AS s, count(*) OVER x AS n, bool_and(load IN (0, 1)) OVER x AS binary_load FROM panel WINDOW x AS (PARTITION BY hour(ts) ORDER BY ts ROWS BETWEEN {TW} PRECEDING AND 1 PRECEDING))
