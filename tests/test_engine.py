@@ -174,3 +174,8 @@ def test_pipeline_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         DataPipeline(spark).run("2024-01-01", "2024-01-02")
     assert instant("today", dt.datetime(2024, 5, 6, 7)) == "2024-05-06 00:00:00"
+
+
+def test_continuity_lists_every_gap(spark):
+    got = validators.ContinuityValidator().validate(spark.range(1202).selectExpr("timestamp_seconds(id * 7200) AS ts"))
+    assert len(got.info["gaps"]) == got.info["gap_count"] == got.stats.count() == 1201
