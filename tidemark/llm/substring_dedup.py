@@ -1,11 +1,11 @@
-"""Substring dedup over prefix-partitioned suffix trees.
+"""Substring dedup over prefix-partitioned suffixes, by fingerprints of fixed windows in place of suffix trees.
 
 A suffix is the text from one word on. Suffixes are split into groups by word prefixes of variable length: a prefix is
-lengthened, word by word, where its suffixes would exceed a group's memory. Each group's suffixes, sorted, are a
-subtree of the suffix tree cut at depth k, the least length of a repeat. Its internal nodes at that depth, those with
-suffixes from more than one place, are the repeats; longer maximal repeats are runs of them.
+lengthened, word by word, where its suffixes would exceed a group's memory. No tree is built: of each suffix only the
+first k words count, k being the least length of a repeat, as one fingerprint, and a group sorts fingerprints by value,
+not suffixes by words. Fingerprints from more than one place are the repeats; longer ones show as runs of removed words.
 
-Documents are dealt to chunks by ranges of their ids, so the smallest chunk of a node holds its first document. A chunk
+Documents are dealt to chunks by ranges of their ids, so the smallest chunk of a repeat holds its first document. A chunk
 sends each distinct suffix once, as one fingerprint of its k words, sorted and delta-coded, and a group answers with
 one bit for each: whether a smaller chunk has it. A passage that a third of all documents share costs one entry per
 chunk. Texts are shuffled once; a document of any length stays whole.
