@@ -28,7 +28,7 @@ def words_of(text):
 def test_base_matches_brute_force_and_model_beats_it(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
-    got = lm_score.train_and_score(docs, shortlist=30, table_words=35).collect()
+    got = lm_score.train_and_score(docs, groups=5, table_words=35).collect()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t in rows if not out(i) for w in words_of(t))
     total = sum(c.values())
@@ -42,46 +42,94 @@ def test_base_matches_brute_force_and_model_beats_it(spark):
     assert lm_score.train_and_score(docs.limit(0)).count() == 0
 
 
-def test_probabilities_sum_to_one():
-    net = lm_score.LogBilinear(9, seed=4)
-    contexts = np.array([[a, b] for a in range(10) for b in range(10)])
-    scores = net.predicted(contexts) @ net.parts["r"].T + net.parts["b"]
-    assert np.exp(scores - net.log_norms(contexts)[:, None]).sum(1) == pytest.approx(1, abs=1e-5)
+def net_of(groups=3, each=4, **options):
+    rng = np.random.default_rng(5)
+    return lm_score.LogBilinear(np.arange(0, groups * each + 1, each), rng.integers(1, 90, groups * each).astype(float), **options)
+
+
+def plain_log_p(net, context, leaf):
+    """The leaf's log-probability by loops: group given context, then leaf given group and context."""
+    p, h = net.parts, [sum(float(net.parts["q"][c][d] * net.parts["c"][j][d]) for j, c in enumerate(context)) for d in range(net.dim)]
+
+    def scores(vectors, biases):
+        return [sum(x * float(y) for x, y in zip(h, v)) + float(b) for v, b in zip(vectors, biases)]
+
+    def chance(all_scores, i):
+        return all_scores[i] - math.log(sum(math.exp(s) for s in all_scores))
+
+    g = int(net.group[leaf])
+    lo, hi = int(net.ptr[g]), int(net.ptr[g + 1])
+    return chance(scores(p["r"], p["b"]), g) + chance(scores(p["s"][lo:hi], p["a"][lo:hi]), leaf - lo)
+
+
+def test_leaf_probabilities_match_loops_and_sum_to_one():
+    net = net_of(seed=4, context=2)
+    for context in ([0, 12], [3, 7], [12, 12]):
+        h = net.predicted(np.array([context] * net.leaves))
+        got = net.log_p(h, np.arange(net.leaves))
+        assert got == pytest.approx([plain_log_p(net, context, i) for i in range(net.leaves)], abs=1e-4)
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_training_learns_a_bigram():
-    rng = np.random.default_rng(0)
-    classes = np.tile([0, 1, 2], 20000)
-    noise, net = np.full(4, 0.25), lm_score.LogBilinear(4)
-    net.parts["b"][:] = np.log(noise)
-    net.train(classes, np.array([0, len(classes)]), noise, {}, rng)
-    s = net.predicted(np.array([[0, 2]])) @ net.parts["r"].T + net.parts["b"]
-    assert np.exp(s - net.log_norms(np.array([[0, 2]]))[:, None])[0, 1] > 0.8
+    leaf, net = np.tile([0, 5, 10], 20000), net_of(context=1)
+    net.train(leaf, np.array([0, len(leaf)]), {}, np.random.default_rng(0))
+    assert np.exp(net.log_p(net.predicted(np.array([[0]])), np.array([5])))[0] > 0.8
 
 
-def test_classes_grow_with_the_corpus(spark):
+def test_model_grows_with_the_corpus(spark):
     def fitted(n):
-        return lm_score.fit(spark.createDataFrame([(f"v{i} v{i} u{i}",) for i in range(n)], "text string"), shortlist=10, table_words=50)
+        return lm_score.fit(spark.createDataFrame([(f"v{i} v{i} u{i}",) for i in range(n)], "text string"), groups=10, leaves=2)
 
     few, many = fitted(50), fitted(5000)
-    assert few.net.size >= 10 + 9 and many.net.size >= 10 + 95
-    code = np.array([r["code"] for r in many.counts.collect()], np.int64).view(np.uint64)
-    assert len(set(lm_score._classes(code, many.code, many.klass, many.net.size, len(many.tail))[1])) == many.net.size
+    assert few.net.leaves >= 2 * 100**0.5 and many.net.leaves >= 2 * 10000**0.5
+    assert many.net.parts["q"].shape[0] == many.net.leaves + 1
+
+
+def test_frequent_words_are_cut_at_one_frequency(spark):
+    counts = spark.createDataFrame([(i, 0, 1 + i // 10) for i in range(1000)], "code long, ending int, n long").repartition(7)
+    top = lm_score._frequent(counts, 35)
+    assert 0 < len(top) <= 35 and top[:, 2].min() > max(1 + i // 10 for i in range(1000) if i not in set(top[:, 0].tolist()))
+    assert len(lm_score._frequent(counts, 1000)) == 1000 and len(lm_score._frequent(counts, 5)) == 0
 
 
-def test_whole_distribution_sums_to_one(spark):
+def test_score_matches_a_plain_version_and_sums_to_one(spark):
     rng = random.Random(3)
-    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(20)) for _ in range(150)]
-    fitted = lm_score.fit(spark.createDataFrame([(t,) for t in texts], "text string"), shortlist=8, table_words=60)
-    vocabulary = sorted({w for t in texts for w in t.split()})
-    docs = spark.createDataFrame([*enumerate(vocabulary), (len(vocabulary), "")], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, fitted).collect()}
-    net, tails, total = fitted.net, len(fitted.tail), 10 ** got[len(vocabulary)]
-    log_p = lambda ctx: net.predicted(ctx) @ net.parts["r"].T + net.parts["b"] - net.log_norms(ctx)[:, None]
-    code, _ = lm_score.tokens(next(lm_score.runs([" ".join(vocabulary)], lower=True)))
-    classes = lm_score._classes(code, fitted.code, fitted.klass, net.size, tails)[1]
-    for i in range(len(vocabulary)):
-        end = log_p(np.array([[classes[i], net.size]]))[0, classes[-1]] / math.log(10)
-        total += 10 ** (got[i] - end)
-    unseen = np.exp(log_p(np.array([[net.size, net.size]]))[0, -tails:]) / fitted.tail
-    assert len(vocabulary) > 100 and tails > 1 and total + unseen.sum() == pytest.approx(1, abs=1e-4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 900}{rng.choice('xyz')}" for _ in range(20)) for _ in range(150)]
+    fitted = lm_score.fit(spark.createDataFrame([(t,) for t in texts], "text string"), groups=4, leaves=1, table_words=60)
+    net, count = fitted.net, Counter(w for t in texts for w in words_of(t))
+    vocabulary = sorted(w for w in count if w)
+    asked = [*(w.decode() for w in vocabulary), "", "neverseen", "w1x W2Y zzz w1x", "w5z " * 300]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), fitted).collect()}
+    code, ending, _ = lm_score.tokens(next(lm_score.runs([" ".join(asked)], lower=True)))
+    of = dict(zip([*" ".join(asked).lower().encode().split(), None], zip(code, ending)))
+    leaf_of = {w: int(fitted.placed(np.array([c]), np.array([e]))[1][0]) for w, (c, e) in of.items()}
+    singles = {leaf: w for w, leaf in leaf_of.items() if leaf != net.ptr[net.group[leaf] + 1] - 1}
+    tail = {g: [0, 0] for g in range(net.groups)}
+    for w, n in count.items():
+        if singles.get(leaf_of[w]) != w:
+            tail[int(net.group[leaf_of[w]])][0] += n
+            tail[int(net.group[leaf_of[w]])][1] += 1
+    n1, n2 = sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values())
+    discount = min(0.9, max(0.1, n1 / max(n1 + 2 * n2, 1)))
+
+    def inside(w):
+        if singles.get(leaf_of[w]) == w:
+            return 1.0
+        tokens, distinct = tail[int(net.group[leaf_of[w]])]
+        return (count[w] - discount) / tokens if count[w] else discount * distinct / tokens if tokens else 1.0
+
+    def plain(text):
+        before, total = [net.leaves] * net.context, 0.0
+        for w in words_of(text):
+            total += plain_log_p(net, before, leaf_of[w]) / math.log(10) + math.log10(inside(w))
+            before = [leaf_of[w], *before[:-1]]
+        return total
+
+    assert len(singles) > 5 and len(vocabulary) > 100
+    for i in [*range(0, len(vocabulary), 9), len(vocabulary), len(vocabulary) + 1, len(vocabulary) + 2]:
+        assert got[i] == pytest.approx(plain(asked[i]), abs=1e-3)
+    start = [net.leaves] * net.context
+    first = {w: 10 ** (plain_log_p(net, start, leaf_of[w]) / math.log(10)) * inside(w) for w in [*vocabulary, None]}
+    unseen = sum(math.exp(plain_log_p(net, start, int(net.ptr[g + 1]) - 1)) * (discount * d / n if n else 1.0) for g, (n, d) in tail.items())
+    assert sum(first.values()) + unseen == pytest.approx(1, abs=1e-4)

@@ -108,3 +108,27 @@ def runs(texts: Sequence[str | None], lower: bool = False) -> Iterator[Words]:
         size += n
     if begin < len(texts):
         yield fingerprint(texts[begin:], lower, begin)
+
+
+class Lookup:
+    """Rows of sorted distinct fingerprints, found by their leading bits."""
+
+    def __init__(self, code: np.ndarray):
+        self.code, bits = code, max(8, int(len(code)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(code >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The row of each fingerprint, or -1."""
+        if not len(self.code):
+            return np.full(len(asked), -1, np.int32)
+        bucket = (asked >> self.shift).astype(np.int64)
+        row, end = self.start[bucket], self.start[bucket + 1]
+        out = np.where((row < end) & (self.code[np.minimum(row, len(self.code) - 1)] == asked), row, -1).astype(np.int32)
+        left = np.flatnonzero((out < 0) & (row + 1 < end))
+        while len(left):
+            row[left] += 1
+            hit = self.code[row[left]] == asked[left]
+            out[left[hit]] = row[left[hit]]
+            left = left[~hit & (row[left] + 1 < end[left])]
+        return out
