@@ -1,15 +1,15 @@
-"""A range cache: Parquet chunks of a source beside a manifest of the ranges they cover."""
+"""A range cache: Parquet chunks of a source beside a manifest of the ranges they cover, in any store that Spark reaches."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.align import keep_first
+from . import files
 from .base import DataSource
 
 
@@ -31,14 +31,12 @@ def uncovered(ranges: list[tuple[str, str]], start: str, end: str) -> list[tuple
 
 class RangeCache:
     def __init__(self, spark: SparkSession, root: str, config: dict):
-        self.spark, self.config, self.folder = spark, config, os.path.join(root, config_key(config))
-        self.path = os.path.join(self.folder, "metadata.json")
+        self.spark, self.config, self.folder = spark, config, f"{root.rstrip('/')}/{config_key(config)}"
+        self.path = f"{self.folder}/metadata.json"
 
     def manifest(self) -> dict:
-        if os.path.exists(self.path):
-            with open(self.path) as f:
-                return json.load(f)
-        return {"cached_ranges": [], "source_config": self.config}
+        text = files.read_text(self.spark, self.path)
+        return json.loads(text) if text else {"cached_ranges": [], "source_config": self.config}
 
     def missing(self, start: str, end: str) -> list[tuple[str, str]]:
         return uncovered([(r["start"], r["end"]) for r in self.manifest()["cached_ranges"]], start, end)
@@ -47,20 +45,17 @@ class RangeCache:
         """Store a chunk; an empty one is recorded as a range without a file, so it isn't fetched again."""
         name = None if df.isEmpty() else "data_" + "_".join(x.translate(str.maketrans("", "", "-:T ")) for x in (start, end))
         if name:
-            df.write.mode("overwrite").parquet(os.path.join(self.folder, name))
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         state = self.manifest()
         state["cached_ranges"] = [r for r in state["cached_ranges"] if (r["start"], r["end"]) != (start, end)] + [{"start": start, "end": end, "filename": name}]
-        os.makedirs(self.folder, exist_ok=True)
-        with open(self.path + ".new", "w") as f:
-            json.dump(state, f)
-        os.replace(self.path + ".new", self.path)
+        files.write_text(self.spark, self.path, json.dumps(state))
 
     def read(self, start: str, end: str) -> DataFrame | None:
         """Rows of the chunks that overlap the range; of an instant in several the first written stays."""
         parts = None
         for i, r in enumerate(self.manifest()["cached_ranges"]):
             if r["filename"] and r["start"] < end and r["end"] > start or r["filename"] and r["start"] <= start <= r["end"]:
-                part = self.spark.read.parquet(os.path.join(self.folder, r["filename"])).withColumn("__order", F.lit(i))
+                part = self.spark.read.parquet(f"{self.folder}/{r['filename']}").withColumn("__order", F.lit(i))
                 parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
         if parts is None:
             return None

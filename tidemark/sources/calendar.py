@@ -2,61 +2,43 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import DataSource
+from .holidays import holidays as public_holidays
 
 #: Zone, latitude and longitude of each country's capital.
 COUNTRIES = {
-    "AT": ("Europe/Vienna", 48.21, 16.37), "BE": ("Europe/Brussels", 50.85, 4.35), "BG": ("Europe/Sofia", 42.70, 23.32), "CH": ("Europe/Zurich", 46.95, 7.45), "CZ": ("Europe/Prague", 50.08, 14.44), "DE": ("Europe/Berlin", 52.52, 13.41),
-    "DK": ("Europe/Copenhagen", 55.68, 12.57), "EE": ("Europe/Tallinn", 59.44, 24.75), "ES": ("Europe/Madrid", 40.42, -3.70), "FI": ("Europe/Helsinki", 60.17, 24.94), "FR": ("Europe/Paris", 48.86, 2.35), "GB": ("Europe/London", 51.51, -0.13),
-    "GR": ("Europe/Athens", 37.98, 23.73), "HU": ("Europe/Budapest", 47.50, 19.04), "IT": ("Europe/Rome", 41.90, 12.50), "LT": ("Europe/Vilnius", 54.69, 25.28), "LV": ("Europe/Riga", 56.95, 24.11), "NL": ("Europe/Amsterdam", 52.37, 4.90),
-    "NO": ("Europe/Oslo", 59.91, 10.75), "PL": ("Europe/Warsaw", 52.23, 21.01), "PT": ("Europe/Lisbon", 38.72, -9.14), "RO": ("Europe/Bucharest", 44.43, 26.10), "SE": ("Europe/Stockholm", 59.33, 18.07), "SK": ("Europe/Bratislava", 48.15, 17.11),
-}
-#: Public holidays on fixed dates, and days after Easter Sunday.
-COMMON = {(1, 1): "New Year's Day", (12, 25): "Christmas Day"}
-FIXED = {
-    "PL": {(1, 6): "Epiphany", (5, 1): "Labour Day", (5, 3): "Constitution Day", (8, 15): "Assumption Day", (11, 1): "All Saints' Day", (11, 11): "Independence Day", (12, 26): "Second Day of Christmas"},
-    "DE": {(5, 1): "Labour Day", (10, 3): "German Unity Day", (12, 26): "Second Day of Christmas"},
-    "FR": {(5, 1): "Labour Day", (5, 8): "Victory Day", (7, 14): "National Day", (8, 15): "Assumption Day", (11, 1): "All Saints' Day", (11, 11): "Armistice Day"},
-    "ES": {(1, 6): "Epiphany", (5, 1): "Labour Day", (8, 15): "Assumption Day", (10, 12): "National Day", (11, 1): "All Saints' Day", (12, 6): "Constitution Day", (12, 8): "Immaculate Conception"},
-    "IT": {(1, 6): "Epiphany", (4, 25): "Liberation Day", (5, 1): "Labour Day", (6, 2): "Republic Day", (8, 15): "Assumption Day", (11, 1): "All Saints' Day", (12, 8): "Immaculate Conception", (12, 26): "Saint Stephen's Day"},
-    "AT": {(1, 6): "Epiphany", (5, 1): "Labour Day", (8, 15): "Assumption Day", (10, 26): "National Day", (11, 1): "All Saints' Day", (12, 8): "Immaculate Conception", (12, 26): "Saint Stephen's Day"},
-    "NL": {(4, 27): "King's Day", (12, 26): "Second Day of Christmas"},
-}
-MOVING = {
-    "PL": {0: "Easter Sunday", 1: "Easter Monday", 49: "Pentecost", 60: "Corpus Christi"}, "DE": {-2: "Good Friday", 1: "Easter Monday", 39: "Ascension Day", 50: "Whit Monday"}, "FR": {1: "Easter Monday", 39: "Ascension Day", 50: "Whit Monday"},
-    "ES": {-2: "Good Friday"}, "IT": {0: "Easter Sunday", 1: "Easter Monday"}, "AT": {1: "Easter Monday", 39: "Ascension Day", 50: "Whit Monday", 60: "Corpus Christi"}, "NL": {0: "Easter Sunday", 1: "Easter Monday", 39: "Ascension Day", 49: "Whit Sunday", 50: "Whit Monday"},
-}
+    "AT": ("Europe/Vienna", 48.2082, 16.3738),
+    "BE": ("Europe/Brussels", 50.8503, 4.3517),
+    "BG": ("Europe/Sofia", 42.6977, 23.3219),
+    "CH": ("Europe/Zurich", 46.9480, 7.4474),
+    "CZ": ("Europe/Prague", 50.0755, 14.4378),
+    "DE": ("Europe/Berlin", 52.5200, 13.4050),
+    "DK": ("Europe/Copenhagen", 55.6761, 12.5683),
+    "ES": ("Europe/Madrid", 40.4168, -3.7038),
+    "FI": ("Europe/Helsinki", 60.1699, 24.9384),
+    "FR": ("Europe/Paris", 48.8566, 2.3522),
+    "GB": ("Europe/London", 51.5074, -0.1278),
+    "GR": ("Europe/Athens", 37.9838, 23.7275),
+    "HU": ("Europe/Budapest", 47.4979, 19.0402),
+    "IE": ("Europe/Dublin", 53.3498, -6.2603),
+    "IT": ("Europe/Rome", 41.9028, 12.4964),
+    "NL": ("Europe/Amsterdam", 52.3676, 4.9041),
+    "NO": ("Europe/Oslo", 59.9139, 10.7522),
+    "PL": ("Europe/Warsaw", 52.2297, 21.0122),
+    "PT": ("Europe/Lisbon", 38.7223, -9.1393),
+    "RO": ("Europe/Bucharest", 44.4268, 26.1025),
+    "SE": ("Europe/Stockholm", 59.3293, 18.0686),
+    "SK": ("Europe/Bratislava", 48.1486, 17.1077),
+}
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
-def easter(year: int) -> dt.date:
-    """Easter Sunday by the Gregorian computus."""
-    golden, century = year % 19, year // 100
-    epact = (century - century // 4 - (8 * century + 13) // 25 + 19 * golden + 15) % 30
-    epact -= (epact // 28) * (1 - (epact // 28) * (29 // (epact + 1)) * ((21 - golden) // 11))
-    weekday = (year + year // 4 + epact + 2 - century + century // 4) % 7
-    shift = epact - weekday
-    month = 3 + (shift + 40) // 44
-    return dt.date(year, month, shift + 28 - 31 * (month // 4))
-
-
-def holidays(country: str, years: range) -> dict[dt.date, str]:
-    out = {}
-    for y in years:
-        out |= {dt.date(y, m, d): n for (m, d), n in {**COMMON, **FIXED.get(country, {})}.items()}
-        if country == "PL" and y >= 2025:
-            out[dt.date(y, 12, 24)] = "Christmas Eve"
-        out |= {easter(y) + dt.timedelta(k): n for k, n in MOVING.get(country, {-2: "Good Friday", 1: "Easter Monday"}).items()}
-    return out
-
-
 def daylight(day: Column, lat: float, lon: float) -> tuple[Column, Column]:
     """Sunrise and sunset in UTC hours of a day, by the almanac's low-precision solar equations; null in polar day or night."""
     n = F.datediff(day, F.to_date(F.lit("2000-01-01"))) - lon / 360.0
@@ -71,11 +53,16 @@ def daylight(day: Column, lat: float, lon: float) -> tuple[Column, Column]:
 
 
 class CalendarSource(DataSource):
-    def __init__(self, country: str, timezone: str | None = None, holidays: str | bool = "binary", weekday: str | bool = "number", hour: str | bool = False, month: str | bool = False, daylight: bool = False, prefix: str = ""):
+    def __init__(
+        self, country: str, timezone: str | None = None, holidays: str | bool = "binary", weekday: str | bool = "number",
+        hour: str | bool = False, month: str | bool = False, daylight: bool = False, prefix: str = "",
+    ):
+        country = country.upper()
         if country not in COUNTRIES:
             raise ValueError(f"Unknown country: {country}")
-        for name, value, allowed in (("holidays", holidays, ("binary", "name", "onehot", False)), ("weekday", weekday, ("number", "name", "onehot", False)), ("hour", hour, ("number", "onehot", False)), ("month", month, ("number", "name", "onehot", False))):
-            if value not in allowed:
+        allowed = {"holidays": ("binary", "name", "onehot", False), "weekday": ("number", "name", "onehot", False), "hour": ("number", "onehot", False), "month": ("number", "name", "onehot", False)}
+        for name, value in (("holidays", holidays), ("weekday", weekday), ("hour", hour), ("month", month)):
+            if value not in allowed[name]:
                 raise ValueError(f"Invalid option for {name}: {value!r}")
         self.country, self.timezone = country, timezone or COUNTRIES[country][0]
         self.holidays, self.weekday, self.hour, self.month, self.daylight, self.prefix = holidays, weekday, hour, month, daylight, prefix
@@ -84,8 +71,8 @@ class CalendarSource(DataSource):
         return {k: getattr(self, k) for k in ("country", "timezone", "holidays", "weekday", "hour", "month", "daylight", "prefix")}
 
     def fetch(self, spark: SparkSession, start: str, end: str) -> DataFrame:
-        hours = spark.range(1).select(F.explode(F.sequence(F.to_timestamp(F.lit(str(start))), F.to_timestamp(F.lit(str(end))), F.expr("interval 1 hour"))).alias("ts"))
-        return self.describe(hours)
+        a, b = spark.range(1).select(*[F.unix_timestamp(F.to_timestamp(F.lit(str(x)))) for x in (start, end)]).first()
+        return self.describe(spark.range(a, b + 1, 3600).select(F.timestamp_seconds("id").alias("ts")))
 
     def describe(self, df: DataFrame) -> DataFrame:
         """Features of any frame's instants; the holiday table, a few rows for each year, is broadcast."""
@@ -93,7 +80,7 @@ class CalendarSource(DataSource):
         cols: list[Column] = []
         if self.holidays:
             years = df.agg(F.min(F.year(local)), F.max(F.year(local))).first()
-            table = holidays(self.country, range(years[0] or 2000, (years[1] or 2000) + 1))
+            table = public_holidays(self.country, range(years[0] or 2000, (years[1] or 2000) + 1))
             dim = spark.createDataFrame(sorted(table.items()), "__day date, __holiday string")
             df = df.join(F.broadcast(dim), F.to_date(local) == F.col("__day"), "left")
             if self.holidays in ("binary", "onehot"):
@@ -106,7 +93,7 @@ class CalendarSource(DataSource):
             if mode == "number":
                 cols.append(number.alias(f"{p}{stem}"))
             elif mode == "name":
-                cols.append(F.element_at(F.array(*map(F.lit, names)), number - base + 1).alias(f"{p}{stem}"))
+                cols.append(F.element_at(F.array(*map(F.lit, names)), number - base + 1).alias(f"{p}{stem}_name"))
             elif mode == "onehot":
                 cols += [(number == i + base).cast("int").alias(f"{p}is_{n}") for i, n in enumerate(names)]
         if self.daylight:
