@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .transformers import TS
 
 
 def outer_align(frames: Sequence[DataFrame]) -> DataFrame:
-    """All instants of all frames with their columns side by side, by one union and one shuffle."""
+    """All instants of all frames with their columns side by side, by one union and one shuffle.
+
+    An instant that one of several frames holds twice can't be aligned: the job fails. A single frame passes as it is.
+    """
     names = [c for f in frames for c in f.columns if c != TS]
     if len(set(names)) < len(names):
         raise ValueError(f"Duplicate column names: {sorted({c for c in names if names.count(c) > 1})}")
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f, allowMissingColumns=True)
-    return whole.groupBy(TS).agg(*[F.first(f"`{c}`", True).alias(c) for c in names])
+    if len(frames) == 1:
+        return frames[0]
+    whole = frames[0].withColumn("__frame", F.lit(0))
+    for i, f in enumerate(frames[1:], 1):
+        whole = whole.unionByName(f.withColumn("__frame", F.lit(i)), allowMissingColumns=True)
+    twice = [F.count_if(F.col("__frame") == i) > 1 for i in range(len(frames))]
+    found = whole.groupBy(TS).agg(F.greatest(*twice).alias("__twice"), *[F.first(f"`{c}`", True).alias(c) for c in names])
+    return unique_instants(found, F.col("__twice")).drop("__twice")
+
+
+def unique_instants(df: DataFrame, twice: Column) -> DataFrame:
+    """``df`` as it is, but reading an instant for which ``twice`` holds fails."""
+    said = F.concat(F.lit("Duplicate instant: "), F.col(TS).cast("string"))
+    return df.withColumn(TS, F.when(twice, F.raise_error(said).cast("timestamp")).otherwise(F.col(TS)))
 
 
 def keep_first(df: DataFrame, order: str, key: str = TS) -> DataFrame:

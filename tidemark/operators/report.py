@@ -79,10 +79,23 @@ class EvaluationReport:
     def by_year_horizon(self) -> DataFrame:
         return self._by("year", "horizon")
 
+    def tables(self) -> dict[str, list[dict]]:
+        """The rows of all six groupings, from one pass over the predictions; they come to the driver, aggregates all."""
+        out: dict[str, list[dict]] = {"_".join(s[1:]) or "summary": [] for s in SETS}
+        for r in self.everything().collect():
+            keys = r["grouping"].split("_")
+            if all(r[k] is not None for k in keys):
+                out["_".join(keys[1:]) or "summary"].append({k: r[k] for k in [*keys, *[e.name for e in self.evaluators]]})
+        for name, rows in out.items():
+            keys = ["model", *([] if name == "summary" else name.split("_"))]
+            rows.sort(key=lambda r: tuple(r[k] for k in keys))  # noqa: B023
+        return out
+
     def everything(self) -> DataFrame:
         """All six groupings by GROUPING SETS; ``grouping`` names the keys of a row."""
         keys = ["model", "hour", "horizon", "year"]
-        out = self.predictions.groupingSets([[F.col(c) for c in s] for s in SETS], *keys).agg(F.grouping_id().alias("gid"), *[e.compute().alias(e.name) for e in self.evaluators])
+        metrics = [e.compute().alias(e.name) for e in self.evaluators]
+        out = self.predictions.groupingSets([[F.col(c) for c in s] for s in SETS], *keys).agg(F.grouping_id().alias("gid"), *metrics)
         names = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s): "_".join(s) for s in SETS}
         label = F.coalesce(*[F.when(F.col("gid") == g, n) for g, n in names.items()])
         return out.withColumn("grouping", label).drop("gid")
@@ -97,6 +110,7 @@ class EvaluationReport:
 
     def details(self, models: Sequence[str]) -> DataFrame:
         """One row per task with each model's prediction, joined on the task's key."""
-        keys = ["target_date", "hour", "horizon", "day_in_test"]
-        wide = self.predictions.groupBy(*keys).agg(F.max("actual").alias("actual"), *[F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(f"prediction_{m}") for m in models])
+        keys = ["run_date", "target_date", "hour", "horizon", "day_in_test"]
+        each = [F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(f"prediction_{m}") for m in models]
+        wide = self.predictions.groupBy(*keys).agg(F.max("actual").alias("actual"), *each)
         return wide.orderBy("target_date", "hour", "horizon")

@@ -63,7 +63,7 @@ class ResampleTransformer(Transformer):
     """Rows on a regular grid from the first day's local midnight on, gaps filled as asked, numbers rounded to 3 places.
 
     Only exact grid rows are taken; nothing is averaged. Running fills are found for days first, then inside each day,
-    so no window spans the whole series.
+    so no window spans the whole series. An instant that occurs twice has no one value: the job fails.
     """
 
     def __init__(self, freq: str = "1h", method: str = "linear", columns: str | list[str] | None = None):
@@ -76,14 +76,26 @@ class ResampleTransformer(Transformer):
         return {"freq": self.freq, "method": self.method, "columns": self.columns}
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if missing := sorted(set(self.columns or []) - set(df.columns)):
+            raise ValueError(f"Columns not found: {missing}")
         tz = zone_of(df)
         midnight = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(F.min(TS), tz)), tz)
         ends = df.agg(epoch(midnight).alias("a"), F.min(epoch()).alias("m"), F.max(epoch()).alias("b")).filter("b is not null")
         first = F.expr(f"a + floor((m - a) / {self.step}) * {self.step}")
-        grid = ends.select(F.explode(F.sequence(first, F.col("b"), F.lit(self.step))).alias("__s")) if self.step < DAY or tz == "UTC" else ends.select(
-            F.explode(F.sequence(F.from_utc_timestamp(F.timestamp_seconds("a"), tz), F.from_utc_timestamp(F.timestamp_seconds("b"), tz), F.expr(f"interval {self.step // DAY} days"))).alias("__l")
-        ).select(epoch(F.to_utc_timestamp("__l", tz)).alias("__s"))
-        joined = grid.join(df.withColumn("__s", F.when(F.date_trunc("second", TS) == F.col(TS), epoch())).drop(TS), "__s", "left")
+        if self.step < DAY or tz == "UTC":
+            # By spans first, so that no one row holds the whole grid.
+            span = 4096 * self.step
+            spans = ends.select(F.explode(F.sequence(first, F.col("b"), F.lit(span))).alias("__from"), "b")
+            grid = spans.select(F.explode(F.sequence("__from", F.least(F.col("__from") + (span - self.step), F.col("b")), F.lit(self.step))).alias("__s"))
+        else:  # days of a zone: their length varies, their number is small
+            local = [F.from_utc_timestamp(F.timestamp_seconds(c), tz) for c in ("a", "b")]
+            steps = F.sequence(*local, F.expr(f"interval {self.step // DAY} days"))
+            grid = ends.select(F.explode(steps).alias("__l")).select(epoch(F.to_utc_timestamp("__l", tz)).alias("__s"))
+        placed = df.filter(F.date_trunc("second", TS) == F.col(TS)).withColumn("__s", epoch())
+        said = F.concat(F.lit("Duplicate instant: "), F.col(TS).cast("string"))
+        again = F.count("*").over(Window.partitionBy("__s")) > 1
+        placed = placed.withColumn("__s", F.when(again, F.raise_error(said).cast("long")).otherwise(F.col("__s"))).drop(TS)
+        joined = grid.join(placed, "__s", "left")
         fill = [c for c in numeric(df) if self.columns is None or c in self.columns]
         out = self._fill(joined, fill) if fill else joined
         return out.select(F.timestamp_seconds("__s").alias(TS, metadata=df.schema[TS].metadata), *[half_even(F.col(f"`{c}`").cast("double")).alias(c) if c in numeric(df) else F.col(f"`{c}`") for c in df.columns if c != TS])
@@ -111,8 +123,10 @@ class ResampleTransformer(Transformer):
 
 
 class LagTransformer(Transformer):
-    """The value at exactly ``ts - lag * freq``; a missing instant gives null. Equi-joins on the instant, one for each
-    shift, keep the work distributed by time whatever the series' length."""
+    """The value at exactly ``ts - lag * freq``; a missing instant gives null.
+
+    Each row sends its values to the instants that look at it, so one shuffle by instant serves all lags.
+    """
 
     def __init__(self, columns: str | list[str], lags: int | list[int] = 1, freq: str = "1h"):
         self.columns = [columns] if isinstance(columns, str) else list(columns or [])
@@ -127,9 +141,12 @@ class LagTransformer(Transformer):
         missing = sorted(set(self.columns) - set(df.columns))
         if missing:
             raise ValueError(f"Columns not found: {missing}")
-        # Each row sends its values to the instants that look at it: one shuffle for all lags, not one join for each.
         names = [(lag, c, lag_name(c, lag, self.step)) for lag in self.lags for c in self.columns]
         own = df.select(F.col(TS).alias("__at"), F.struct("*").alias("__row"))
-        sent = df.select(F.explode(F.array(*[F.struct((F.timestamp_seconds(epoch() + lag * self.step) + (F.col(TS) - F.date_trunc("second", TS))).alias("__at"), F.lit(lag).alias("__lag"), *[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(self.columns)]) for lag in self.lags])).alias("s")).select("s.*")
-        sent = sent.groupBy("__at").agg(*[F.first(F.when(F.col("__lag") == lag, F.col(f"__v{self.columns.index(c)}")), True).alias(n) for lag, c, n in names])
+        part = F.col(TS) - F.date_trunc("second", TS)
+        values = [F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(self.columns)]
+        to = [F.struct((F.timestamp_seconds(epoch() + lag * self.step) + part).alias("__at"), F.lit(lag).alias("__lag"), *values) for lag in self.lags]
+        sent = df.select(F.explode(F.array(*to)).alias("s")).select("s.*")
+        found = [F.first(F.when(F.col("__lag") == lag, F.col(f"__v{self.columns.index(c)}")), True).alias(n) for lag, c, n in names]
+        sent = sent.groupBy("__at").agg(*found)
         return own.join(sent, "__at", "left").select("__row.*", *[F.col(f"`{n}`") for _, _, n in names])
