@@ -1,16 +1,15 @@
 """Registered queries of the time-series engine and their SQL twins.
 
-All run over whole tables but ten, which take the user group ``SOME`` and whose SQL says so; each of the ten has a twin named
-``..._all`` that does the same over a panel of minutes of all events. The hourly panel is built from ``events`` (price: mean value, load: rows of each hour), the
-daily one from ``orders``. Money is summed as decimals and results are rounded the same way in both engines, so values
-compare exactly; instants are returned as text.
+All run over whole tables. The hourly panel is built from ``events`` (price: mean value, load: rows of each hour), the daily
+one from ``orders``. Queries named ``..._all`` take a panel of minutes, where gaps are real. Money is summed as decimals
+and results are rounded the same way in both engines, so values compare exactly; instants are returned as text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
@@ -38,17 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hourly(spark: SparkSession, sf_dir: str, where: str | None = None, unit: str = "hour") -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    rows = events.filter(where) if where else events
+def hourly(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
+    rows = table(spark, sf_dir, "events")
     money = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
     return rows.groupBy(F.date_trunc(unit, F.col("ts").cast("timestamp")).alias("ts")).agg((money / F.count("value")).alias("price"), F.count("*").alias("load"))
 
 
-#: A user group whose hours have gaps at every scale.
-SOME = "event_type = 'click' AND user_id % 40 = 0"
-
-
 def text(df: DataFrame, *names: str) -> DataFrame:
     """Instants as text, doubles rounded."""
     cols = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else half_up(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes]
@@ -56,7 +50,6 @@ def text(df: DataFrame, *names: str) -> DataFrame:
 
 
 PANEL = """panel AS (SELECT date_trunc('hour', ts) AS ts, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS price, count(*) AS load FROM events GROUP BY 1)"""
-GAPPY = PANEL.replace("panel AS", "panel AS").replace("FROM events", f"FROM events WHERE {SOME}")
 #: All events by minute: many minutes have none, so there are gaps and no row is left out.
 MINUTES = PANEL.replace("date_trunc('hour', ts)", "date_trunc('minute', ts)")
 T = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -79,8 +72,8 @@ def tz_local_fields(spark, d):
     return text(df.select("ts", F.hour(local).alias("local_hour"), F.weekday(local).alias("local_weekday"), F.month(local).alias("local_month")))
 
 
-def _resample_sql(method: str, step: int = 1, only_price: bool = False, panel: str = GAPPY, unit: str = "HOUR") -> str:
-    size = step * {"HOUR": 3600, "MINUTE": 60}[unit]
+def _resample_sql(method: str, step: int = 1, only_price: bool = False) -> str:
+    size, unit, panel = step * 60, "MINUTE", MINUTES
 
     def fill(c: str) -> str:
         cast = f"CAST({c} AS DOUBLE)"
@@ -106,94 +99,53 @@ def _minutes(spark, d) -> DataFrame:
     return hourly(spark, d, unit="minute")
 
 
-def _resampled(spark, d, panel=None, **options):
-    df = ResampleTransformer(**options)(hourly(spark, d, SOME) if panel is None else panel)
+def _resampled(spark, d, **options):
+    df = ResampleTransformer(**options)(_minutes(spark, d))
     return df.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "price", "load")
 
 
-@query(_resample_sql("linear"))
-def resample_linear(spark, d):
-    return _resampled(spark, d, method="linear")
-
-
-@query(_resample_sql("ffill"))
-def resample_ffill(spark, d):
-    return _resampled(spark, d, method="ffill")
-
-
-@query(_resample_sql("bfill"))
-def resample_bfill(spark, d):
-    return _resampled(spark, d, method="bfill")
-
-
-@query(_resample_sql("ffill", 2))
-def resample_downsample_2h(spark, d):
-    return _resampled(spark, d, freq="2h", method="ffill")
-
-
-@query(_resample_sql("linear", 1, True))
-def resample_subset_columns(spark, d):
-    return _resampled(spark, d, columns="price")
-
-
-@query(_resample_sql("linear", 1, False, MINUTES, "MINUTE"))
+@query(_resample_sql("linear", 1))
 def resample_linear_all(spark, d):
-    return _resampled(spark, d, _minutes(spark, d), freq="1min", method="linear")
+    return _resampled(spark, d, freq="1min", method="linear")
 
 
-@query(_resample_sql("ffill", 1, False, MINUTES, "MINUTE"))
+@query(_resample_sql("ffill", 1))
 def resample_ffill_all(spark, d):
-    return _resampled(spark, d, _minutes(spark, d), freq="1min", method="ffill")
+    return _resampled(spark, d, freq="1min", method="ffill")
 
 
-@query(_resample_sql("bfill", 1, False, MINUTES, "MINUTE"))
+@query(_resample_sql("bfill", 1))
 def resample_bfill_all(spark, d):
-    return _resampled(spark, d, _minutes(spark, d), freq="1min", method="bfill")
+    return _resampled(spark, d, freq="1min", method="bfill")
 
 
-@query(_resample_sql("ffill", 2, False, MINUTES, "MINUTE"))
+@query(_resample_sql("ffill", 2))
 def resample_downsample_2min_all(spark, d):
-    return _resampled(spark, d, _minutes(spark, d), freq="2min", method="ffill")
+    return _resampled(spark, d, freq="2min", method="ffill")
 
 
-@query(_resample_sql("linear", 1, True, MINUTES, "MINUTE"))
+@query(_resample_sql("linear", 1, True))
 def resample_subset_columns_all(spark, d):
-    return _resampled(spark, d, _minutes(spark, d), freq="1min", columns="price")
+    return _resampled(spark, d, freq="1min", columns="price")
 
 
-def _lag_sql(hours: dict[str, int], panel: str = GAPPY) -> str:
+def _lag_sql(hours: dict[str, int]) -> str:
     joins = " ".join(f"LEFT JOIN panel l{i} ON l{i}.ts = p.ts - to_hours({h})" for i, h in enumerate(hours.values()))
     cols = ", ".join(f'{r4(f"l{i}.price")} AS "{n}"' for i, n in enumerate(hours))
-    return f"WITH {panel} SELECT {T.format('p.ts')} AS ts, {cols} FROM panel p {joins}"
+    return f"WITH {MINUTES} SELECT {T.format('p.ts')} AS ts, {cols} FROM panel p {joins}"
 
 
 @query(_lag_sql({"price_h-1": 1, "price_h-3": 3}))
-def lag_hour(spark, d):
-    df = LagTransformer("price", [1, 3], "1h")(hourly(spark, d, SOME))
-    return text(df, "ts", "`price_h-1`", "`price_h-3`")
-
-
-@query(_lag_sql({"price_d-1": 24, "price_d-7": 168}))
-def lag_day(spark, d):
-    return text(LagTransformer("price", [1, 7], "1D")(hourly(spark, d, SOME)), "ts", "`price_d-1`", "`price_d-7`")
-
-
-@query(_lag_sql({"price_h+2": -2, "price_d+1": -24}))
-def lag_forward(spark, d):
-    return text(LagTransformer("price", [-2, -24], "1h")(hourly(spark, d, SOME)), "ts", "`price_h+2`", "`price_d+1`")
-
-
-@query(_lag_sql({"price_h-1": 1, "price_h-3": 3}, MINUTES))
 def lag_hour_all(spark, d):
     return text(LagTransformer("price", [1, 3], "1h")(_minutes(spark, d)), "ts", "`price_h-1`", "`price_h-3`")
 
 
-@query(_lag_sql({"price_d-1": 24, "price_d-7": 168}, MINUTES))
+@query(_lag_sql({"price_d-1": 24, "price_d-7": 168}))
 def lag_day_all(spark, d):
     return text(LagTransformer("price", [1, 7], "1D")(_minutes(spark, d)), "ts", "`price_d-1`", "`price_d-7`")
 
 
-@query(_lag_sql({"price_h+2": -2, "price_d+1": -24}, MINUTES))
+@query(_lag_sql({"price_h+2": -2, "price_d+1": -24}))
 def lag_forward_all(spark, d):
     return text(LagTransformer("price", [-2, -24], "1h")(_minutes(spark, d)), "ts", "`price_h+2`", "`price_d+1`")
 
@@ -201,8 +153,7 @@ def lag_forward_all(spark, d):
 @query(f"""WITH {PANEL} SELECT {T.format('ts')} AS ts, {r4('lead(price, 1) OVER w')} AS "price_d+1", {r4('lead(price, 2) OVER w')} AS "price_d+2" FROM panel
 WINDOW w AS (PARTITION BY hour(ts) ORDER BY ts)""")
 def target_leads(spark, d):
-    w = Window.partitionBy(F.hour("ts")).orderBy("ts")
-    return text(hourly(spark, d).select("ts", *[F.lead("price", h).over(w).alias(f"price_d+{h}") for h in (1, 2)]))
+    return text(models.with_leads(hourly(spark, d), "price", 2).select("ts", "`price_d+1`", "`price_d+2`"))
 
 
 @query("""WITH e AS (SELECT date_trunc('day', ts) AS ts, count(*) AS events FROM events GROUP BY 1),
@@ -230,7 +181,7 @@ def calendar_number(spark, d):
     return _calendar(spark, d, weekday="number", hour="number", month="number")
 
 
-@query(LOCAL + "lower(dayname(w)) AS weekday, lower(monthname(w)) AS month FROM l")
+@query(LOCAL + "lower(dayname(w)) AS weekday_name, lower(monthname(w)) AS month_name FROM l")
 def calendar_name(spark, d):
     return _calendar(spark, d, weekday="name", month="name")
 
@@ -250,16 +201,6 @@ def calendar_daylight(spark, d):
     return _calendar(spark, d, daylight=True)
 
 
-@query(f"WITH {GAPPY}, j AS (SELECT p.price, p.load, l.price AS lagged FROM panel p LEFT JOIN panel l ON l.ts = p.ts - INTERVAL 1 HOUR) SELECT 'price' AS \"column\", count(*) - count(price) AS null_count FROM j UNION ALL SELECT 'load', count(*) - count(load) FROM j UNION ALL SELECT 'price_h-1', count(*) - count(lagged) FROM j")
-def null_check(spark, d):
-    return validators.null_counts(LagTransformer("price", 1)(hourly(spark, d, SOME)))
-
-
-@query(f"WITH {GAPPY}, g AS (SELECT lag(ts) OVER (ORDER BY ts) AS a, ts AS b FROM panel) SELECT {T.format('a')} AS start, {T.format('b')} AS \"end\", CAST(epoch(b) - epoch(a) AS BIGINT) AS duration FROM g WHERE epoch(b) - epoch(a) > 3600")
-def continuity_gaps(spark, d):
-    return text(validators.gaps(hourly(spark, d, SOME)))
-
-
 @query(f"WITH {MINUTES}, j AS (SELECT p.price, p.load, l.price AS lagged FROM panel p LEFT JOIN panel l ON l.ts = p.ts - INTERVAL 1 HOUR) SELECT 'price' AS \"column\", count(*) - count(price) AS null_count FROM j UNION ALL SELECT 'load', count(*) - count(load) FROM j UNION ALL SELECT 'price_h-1', count(*) - count(lagged) FROM j")
 def null_check_all(spark, d):
     return validators.null_counts(LagTransformer("price", 1)(_minutes(spark, d)))
@@ -394,12 +335,12 @@ def matrix_hour_horizon(spark, d):
     return text(_mae(spark, d).matrix("hour", "horizon", "MAE", (1, 2, 3)))
 
 
-@query(f"WITH {NAIVE} SELECT strftime(target_date, '%Y-%m-%d') AS target_date, hour, horizon, day_in_test, CAST(actual AS VARCHAR) AS actual, CAST(prediction AS VARCHAR) AS prediction_naive, CAST(prediction * 2 AS VARCHAR) AS prediction_double FROM naive")
+@query(f"WITH {NAIVE} SELECT strftime(run_date, '%Y-%m-%d') AS run_date, strftime(target_date, '%Y-%m-%d') AS target_date, hour, horizon, day_in_test, CAST(actual AS VARCHAR) AS actual, CAST(prediction AS VARCHAR) AS prediction_naive, CAST(prediction * 2 AS VARCHAR) AS prediction_double FROM naive")
 def details_wide(spark, d):
     rows = naive(spark, d)
     both = rows.unionByName(rows.withColumn("model", F.lit("double")).withColumn("prediction", (F.col("prediction") * 2).cast("decimal(18,2)")))
     wide = report.EvaluationReport(both).details(["naive", "double"])
-    return wide.select(F.date_format("target_date", "yyyy-MM-dd").alias("target_date"), "hour", "horizon", "day_in_test", *[F.col(c).cast("string").alias(c) for c in ("actual", "prediction_naive", "prediction_double")])
+    return wide.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("run_date", "target_date")], "hour", "horizon", "day_in_test", *[F.col(c).cast("string").alias(c) for c in ("actual", "prediction_naive", "prediction_double")])
 
 
 TW, TEST = 14, ("2024-01-20", "2024-01-24")
@@ -441,30 +382,30 @@ def rolling_lasso_cv(spark, d):
 @query(f"""WITH {PANEL}, w AS (SELECT ts, price, avg(price) OVER x AS m, stddev_samp(price) OVER x AS s, count(*) OVER x AS n, bool_and(load IN (0, 1)) OVER x AS binary_load FROM panel WINDOW x AS (PARTITION BY hour(ts) ORDER BY ts ROWS BETWEEN {TW} PRECEDING AND 1 PRECEDING))
 SELECT {T.format('ts')} AS ts, {r4('m')} AS mean, {r4('s')} AS std, n AS window_rows, CAST(binary_load AS INT) AS binary_load FROM w WHERE n = {TW}""")
 def scaler_stats(spark, d):
-    w = Window.partitionBy(F.hour("ts")).orderBy("ts").rowsBetween(-TW, -1)
-    df = hourly(spark, d).select("ts", F.avg("price").over(w).alias("mean"), F.stddev_samp("price").over(w).alias("std"), F.count("*").over(w).alias("window_rows"), F.bool_and(F.col("load").isin(0, 1)).over(w).cast("int").alias("binary_load"))
-    return text(df.filter(F.col("window_rows") == TW))
+    found = models.window_scales(hourly(spark, d), TW, ["price", "load"])
+    price = [F.max(F.when(F.col("column") == "price", F.col(c))).alias(c) for c in ("mean", "std")]
+    wide = found.groupBy("ts").agg(*price, F.max(F.when(F.col("column") == "load", F.col("binary"))).cast("int").alias("binary_load"))
+    return text(wide.select("ts", "mean", "std", F.lit(TW).cast("long").alias("window_rows"), "binary_load"))
 
 
 @query(f"""WITH {PANEL}, x AS (SELECT hour(ts) AS h, row_number() OVER (PARTITION BY hour(ts) ORDER BY ts) - 1 AS day FROM panel)
 SELECT CAST(t.h AS INT) AS hour, CAST(z AS INT) AS horizon, t.day AS day, min(r.day) AS first_train, max(r.day) AS last_train, count(*) AS train_rows
 FROM x t JOIN range(1, 4) b(z) ON true JOIN x r ON r.h = t.h AND r.day BETWEEN t.day - {TW} - z AND t.day - z - 1 GROUP BY ALL""")
 def training_slice_bounds(spark, d):
-    days = hourly(spark, d).select(F.hour("ts").alias("hour"), (F.row_number().over(Window.partitionBy(F.hour("ts")).orderBy("ts")) - 1).cast("long").alias("day"))
-    out = []
-    for h in (1, 2, 3):
-        w = Window.partitionBy("hour").orderBy("day").rangeBetween(-TW - h, -h - 1)
-        out.append(days.select("hour", F.lit(h).alias("horizon"), "day", F.min("day").over(w).alias("first_train"), F.max("day").over(w).alias("last_train"), F.count("*").over(w).alias("train_rows")))
-    return out[0].unionByName(out[1]).unionByName(out[2]).filter("train_rows > 0")
+    return models.training_slices(hourly(spark, d), TW, 3)
 
 
 @query(f"""WITH {PANEL}, n AS (SELECT ts, price, row_number() OVER (ORDER BY ts) AS x FROM panel) SELECT {T.format('a.ts')} AS ts, {r4('b.price')} AS "v_d+1", {r4('c.price')} AS "v_d+2" FROM n a LEFT JOIN n b ON b.x = a.x + 24 LEFT JOIN n c ON c.x = a.x + 48 WHERE b.price IS NOT NULL""")
 def forecast_array_lookup(spark, d):
-    rows = hourly(spark, d)
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "price")))
-    arrays = rows.agg(ordered.alias("s")).select(F.transform("s", lambda x: F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm")).alias("time"), F.col("s.price").alias("v"))
-    docs = arrays.select(F.to_json(F.struct(F.struct("time", F.col("v").alias("v_previous_day1"), F.col("v").alias("v_previous_day2")).alias("hourly"))).alias("doc"))
-    return text(weather.parse_forecast(docs, ["v"], 2))
+    # Documents of 28 days, each with the 7 days after it to look ahead into.
+    day = F.floor(F.unix_timestamp("ts") / 86400)
+    chunks = F.array_distinct(F.array(F.floor(day / 28), F.floor((day - 7) / 28)))
+    rows = hourly(spark, d).select("ts", "price", F.explode(chunks).alias("chunk"))
+    arrays = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("ts", "price"))).alias("s"))
+    arrays = arrays.select("chunk", F.transform("s", lambda x: F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm")).alias("time"), F.col("s.price").alias("v"))
+    fields = F.struct("time", F.col("v").alias("v_previous_day1"), F.col("v").alias("v_previous_day2"))
+    docs = arrays.select("chunk", F.to_json(F.struct(fields.alias("hourly"))).alias("doc"))
+    return text(weather.merge_chunks(weather.parse_forecast(docs, ["v"], 2)))
 
 
 def _documents(spark, d) -> DataFrame:
@@ -483,11 +424,16 @@ def xml_points_explode(spark, d):
     return text(market.parse_points(_documents(spark, d)).select("ts", "psr", "value"))
 
 
-@query(f"SELECT {T.format('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)')} AS ts, CAST(nullif(count(*) FILTER (event_type = 'click'), 0) AS DOUBLE) AS generation_click, CAST(nullif(count(*) FILTER (event_type = 'purchase'), 0) AS DOUBLE) AS generation_purchase FROM events GROUP BY 1")
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(
+    f"WITH p AS (SELECT date_trunc('hour', ts) AS ts, event_type FROM events) SELECT {T.format('ts')} AS ts, "
+    + ", ".join(f"CAST(nullif(count(*) FILTER (event_type = '{t}'), 0) AS DOUBLE) AS generation_{t}" for t in TYPES)
+    + " FROM p GROUP BY ts"
+)
 def generation_pivot(spark, d):
-    found = market.generation_pivot(market.parse_points(_documents(spark, d)), ["click", "purchase"])
-    hours = hourly(spark, d).select("ts")
-    return text(hours.join(found, "ts", "left"))
+    return text(market.generation_pivot(market.parse_points(_documents(spark, d)), TYPES))
 
 
 @query(f"SELECT {T.format('ts')} AS ts, CAST(count(*) AS DOUBLE) AS value FROM (SELECT date_trunc('hour', ts) AS ts FROM events) GROUP BY ts")
