@@ -1,5 +1,8 @@
 import datetime as dt
+import http.server
 import json
+import os
+import threading
 import zipfile
 
 import numpy as np
@@ -13,8 +16,9 @@ from tidemark.operators.transformers import LagTransformer, ResampleTransformer,
 from tidemark.plans.pipelines import DataPipeline, ModelPipeline, instant
 from tidemark.sources import market, weather
 from tidemark.sources.cache import RangeCache, config_key, uncovered
-from tidemark.sources.calendar import CalendarSource, easter
+from tidemark.sources.calendar import COUNTRIES, CalendarSource
 from tidemark.sources.csv import CsvSource, pattern_of
+from tidemark.sources.holidays import HOLIDAYS, easter, holidays, orthodox_easter
 
 
 def frame(spark, start, values, hours=1, name="value"):
@@ -82,7 +86,7 @@ def test_sources(spark, tmp_path):
     cal = CalendarSource("PL", weekday="onehot", hour="onehot", month="name", daylight=True).fetch(spark, "2024-06-20", "2024-06-21")
     assert cal.count() == 25 and len([c for c in cal.columns if c.startswith("is_") and not c[3:].isdigit()]) == 8
     row = cal.orderBy("ts").first()
-    assert row["month"] == "june" and abs(row["daylight_hours"] - 16.75) < 0.15
+    assert row["month_name"] == "june" and abs(row["daylight_hours"] - 16.75) < 0.15
     body = json.dumps({"hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "t_previous_day1": [float(i) for i in range(26)]}})
     calls = []
 
@@ -179,3 +183,211 @@ def test_pipeline_round_trip(spark, tmp_path):
 def test_continuity_lists_every_gap(spark):
     got = validators.ContinuityValidator().validate(spark.range(1202).selectExpr("timestamp_seconds(id * 7200) AS ts"))
     assert len(got.info["gaps"]) == got.info["gap_count"] == got.stats.count() == 1201
+
+
+def test_csv_formats_and_missing_files(spark, tmp_path):
+    path = tmp_path / "y.CSV"
+    path.write_text("when;price\n2024-01-01 02:30;2\n2024-01-01 00:15;1\n")
+    source = CsvSource(str(path), "when", datetime_format="%Y-%m-%d %H:%M", separator=";")
+    assert [str(r["ts"]) for r in source.fetch(spark, "2024-01-01", "2024-01-02").orderBy("ts").collect()] == ["2024-01-01 00:15:00", "2024-01-01 02:30:00"]
+    path.write_text("when;price\n31/12/2023 02;2\n")
+    assert CsvSource(str(path), "when", datetime_format="%d/%m/%Y %H", separator=";").fetch(spark, "2023-12-01", "2024-01-02").count() == 1
+    with pytest.raises(FileNotFoundError):
+        CsvSource(str(tmp_path / "none.csv"))
+    (tmp_path / "z.txt").write_text("datetime\n")
+    with pytest.raises(ValueError):
+        CsvSource(str(tmp_path / "z.txt"))
+    with pytest.raises(ValueError):
+        CsvSource(str(path), "nope", separator=";").fetch(spark, "2023-12-01", "2024-01-02")
+
+
+def test_holidays_of_all_countries(spark):
+    assert set(HOLIDAYS) == set(COUNTRIES) and len(COUNTRIES) == 22
+    assert [orthodox_easter(y) for y in (2016, 2023, 2024, 2025)] == [dt.date(2016, 5, 1), dt.date(2023, 4, 16), dt.date(2024, 5, 5), dt.date(2025, 4, 20)]
+    count = {c: len(holidays(c, range(2024, 2025))) for c in HOLIDAYS}
+    assert all(n >= 6 for c, n in count.items() if c != "CH") and count["CH"] == 4 and count["DE"] == 9 and count["FR"] == 11 and count["PL"] == 13
+    has = lambda c, *day: dt.date(*day) in holidays(c, range(day[0], day[0] + 1))
+    assert has("GR", 2024, 3, 18) and has("BG", 2024, 5, 3) and has("RO", 2024, 6, 24) and has("IE", 2024, 2, 5) and has("IE", 2024, 10, 28)
+    assert has("GB", 2022, 1, 3) and has("GB", 2022, 12, 27) and has("GB", 2024, 5, 6) and not has("GB", 2020, 5, 4) and has("SE", 2024, 6, 22) and has("FI", 2024, 11, 2)
+    assert has("DK", 2023, 5, 5) and not has("DK", 2024, 4, 26) and has("NL", 2025, 4, 26) and not has("NL", 2025, 4, 27) and has("PL", 2025, 12, 24) and not has("PL", 2024, 12, 24)
+    names = CalendarSource("ie", holidays="name", weekday="name").fetch(spark, "2024-03-17", "2024-03-17 02:00:00")
+    assert {tuple(r)[1:] for r in names.collect()} == {("Saint Patrick's Day", "sunday")}
+    with pytest.raises(ValueError):
+        holidays("XX", range(2024, 2025))
+
+
+def test_market_tables_keys_and_transport(spark, monkeypatch):
+    assert len(market.AREAS) >= 97 and {"DE", "GB", "NO_1", "SE_3", "IE_SEM", "IT_NORD", "HR", "SI", "BG"} <= set(market.AREAS)
+    assert [r[0] for r in spark.createDataFrame([("B11",)], "c string").select(market.psr_name(F.col("c"))).collect()] == ["hydro_run-of-river_and_pondage"]
+    for bad in (("zz", "k", ["load"]), ("PL", "", ["load"]), ("PL", "k", []), ("PL", "k", ["gas"])):
+        with pytest.raises(ValueError):
+            market.EntsoeSource(*bad)
+    monkeypatch.setenv("ENTSOE_API_KEY", "secret")
+    assert market.EntsoeSource("pl", "${ENTSOE_API_KEY}").api_key == "secret"
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.path)
+            status = 400 if "none" in self.path else 500 if "broken" in self.path else 200
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(b"No matching data found" if status == 400 else b'{"hourly": {}}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        for module in (market, weather):
+            monkeypatch.setattr(module, "API_URL", f"http://127.0.0.1:{server.server_port}/api")
+        assert market.http_transport({"area": "none"}) is None and market.http_transport({"area": "x"}) == '{"hourly": {}}'
+        with pytest.raises(OSError):
+            market.http_transport({"area": "broken"})
+        assert weather.http_transport({"hourly": ["a", "b"]}) == '{"hourly": {}}' and "hourly=a%2Cb" in seen[-1] and "timezone=GMT" in seen[-1]
+    finally:
+        server.shutdown()
+
+
+def test_overlapping_weather_chunks_are_merged_in_order(spark):
+    assert len(weather.VARIABLES) == 14 and {"showers", "weather_code", "pressure_msl"} <= set(weather.VARIABLES)
+    docs = [(1, {"time": ["2024-01-01T00:00"], "a_previous_day1": [9.0] * 25}), (0, {"time": ["2024-01-01T00:00"], "a_previous_day1": [1.0] * 25, "b_previous_day1": [None] * 25}), (2, {"time": ["2024-01-01T00:00"], "b_previous_day1": [5.0] * 25})]
+    frame = spark.createDataFrame([(i, json.dumps({"hourly": h})) for i, h in docs], "chunk int, doc string").repartition(3)
+    got = weather.merge_chunks(weather.parse_forecast(frame, ["a", "b"], 1)).collect()
+    assert [(r["a_d+1"], r["b_d+1"]) for r in got] == [(1.0, 5.0)]
+
+
+def test_duplicate_instants_fail(spark):
+    a = frame(spark, "2024-01-01", range(3), name="a")
+    with pytest.raises(Exception, match="Duplicate instant"):
+        align.outer_align([a.union(a.limit(1)), frame(spark, "2024-01-01", range(3), name="b")]).collect()
+    with pytest.raises(Exception, match="Duplicate instant"):
+        ResampleTransformer()(a.union(a.limit(1))).collect()
+    with pytest.raises(ValueError):
+        ResampleTransformer(columns=["z"])(a)
+    assert ResampleTransformer("1min")(frame(spark, "2024-01-01", [1, 2], 24 * 4)).count() == 4 * 1440 + 1
+
+
+def test_a_failing_task_leaves_the_others(spark):
+    class Fussy(models.OLSModel):
+        def fit_predict(self, x, y, ahead):
+            if len(y) % 2:
+                raise KeyError("odd")
+            return super().fit_predict(x, y, ahead)
+
+    df, _ = panel(spark)
+    got = Fussy(["load"], 29).run(df, "2023-12-01", "2023-12-02", "price", 1).collect()
+    assert {(r["day_in_test"], r["error"]) for r in got} == {(0, "KeyError: 'odd'"), (1, "KeyError: 'odd'")}
+    assert all(r["prediction"] is None for r in got) and len(got) == 48
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_stored_results_belong_to_their_settings(spark, tmp_path, kind):
+    df, _ = panel(spark)
+
+    def run(predictors, window, start="2023-12-05", end="2023-12-06", horizon=2):
+        found = ModelPipeline().add_model(models.OLSModel(predictors, window, "ols")).run(df, start, end, "price", horizon, str(tmp_path), kind)
+        return {(str(r["run_date"]), r["hour"], r["horizon"]): (r["prediction"], r["day_in_test"]) for r in found.predictions.collect()}
+
+    first = run(["load"], 10)
+    assert len(first) == 2 * 24 * 2 and run(["load"], 10) == first
+    assert run(["load", "monday"], 10) != first and run(["load"], 12) != first
+    assert {k: v[0] for k, v in run(["load"], 10, horizon=1).items()} == {k: v[0] for k, v in first.items() if k[2] == 1}
+    later = run(["load"], 10, "2023-12-06", "2023-12-07")
+    assert all(later[k][0] == v[0] and later[k][1] == v[1] - 1 for k, v in first.items() if k[0] == "2023-12-06")
+    assert len(os.listdir(tmp_path)) == 3
+
+
+def test_predictions_are_fitted_once(spark):
+    df, _ = panel(spark)
+    fits = spark.sparkContext.accumulator(0)
+
+    class Counted(models.OLSModel):
+        def fit_predict(self, x, y, ahead):
+            fits.add(1)
+            return super().fit_predict(x, y, ahead)
+
+    found = ModelPipeline().add_model(Counted(["load"], 10)).run(df, "2023-12-05", "2023-12-05", "price", 1)
+    exporters.TerminalExporter(exporters.VIEWS).render(found)
+    assert found.by_hour().count() == 24 and fits.value == 24
+
+
+def test_workbook_layout(spark, tmp_path):
+    rows = [(m, dt.date(2024, 1, 1), dt.date(2024, 1, 1 + h), hour, h, 0, float(hour + h + i), float(hour)) for i, m in enumerate(("one", "two")) for hour in range(3) for h in (1, 2)]
+    schema = "model string, run_date date, target_date date, hour int, horizon int, day_in_test int, prediction double, actual double"
+    found = report.EvaluationReport(spark.createDataFrame(rows, schema), [report.MAEEvaluator()])
+    sheets = {s.name: s for s in exporters.ExcelExporter("x").pages(found)}
+    assert list(sheets) == ["Summary", "hour_MAE", "horizon_MAE", "HourHorizon_MAE", "year_MAE", "YearHorizon_MAE", "Details"]
+    assert sheets["Summary"].scales == ["B2:B3"] and sheets["hour_MAE"].scales == ["B2:D3"] and sheets["horizon_MAE"].scales == ["B2:B3", "C2:C3"]
+    both = sheets["HourHorizon_MAE"]
+    assert (both.cells[1, 1], both.cells[1, 5], both.cells[2, 2], both.cells[2, 7], both.cells[3, 5]) == ("one", "two", "horizon_1", "horizon_2", "hour_0")
+    assert both.cells[4, 3] == 2.0 and both.cells[4, 7] == 3.0 and both.scales == ["B3:C5", "F3:G5"]
+    details = sheets["Details"].cells
+    assert [details[1, c] for c in range(1, 9)] == ["run_date", "target_date", "hour", "horizon", "day_in_test", "actual", "prediction_one", "prediction_two"]
+    assert [exporters.letters(n) for n in (1, 26, 27, 52, 53, 702, 703)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA"]
+    exporters.ExcelExporter(str(tmp_path / "w.xlsx")).export(found)
+    assert b"YearHorizon_MAE" in zipfile.ZipFile(tmp_path / "w.xlsx").read("xl/workbook.xml")
+
+
+def test_source_data_kept_as_csv_and_yaml_with_transport(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("ENTSOE_API_KEY", "secret")
+    xml = "<D><TimeSeries><Period><timeInterval><start>2024-01-01T00:00Z</start></timeInterval><resolution>PT60M</resolution><Point><position>1</position><price.amount>5.5</price.amount></Point></Period></TimeSeries></D>"
+    calls = []
+    pipe = DataPipeline(spark).add_source(market.EntsoeSource("PL", "secret", ["price"])).add_source(CalendarSource("PL", weekday="name"))
+    pipe.save(str(tmp_path / "p.yaml"))
+    assert "secret" not in (tmp_path / "p.yaml").read_text()
+    again = DataPipeline.load(spark, str(tmp_path / "p.yaml"), {"EntsoeSource": lambda q: calls.append(q) or xml})
+    assert again.sources[0].api_key == "secret"
+    for path in (str(tmp_path / "kept.csv"), str(tmp_path / "kept")):
+        first = [tuple(r) for r in again.run("2024-01-01", "2024-01-02", cache=path).select("ts", "price", "weekday_name").orderBy("ts").collect()]
+        n = len(calls)
+        second = [tuple(r) for r in again.run("2024-01-01", "2024-01-02", cache=path).select("ts", "price", "weekday_name").orderBy("ts").collect()]
+        assert first == second and len(first) == 25 and first[0][1] == 5.5 and len(calls) == n
+    assert (tmp_path / "kept.csv").is_file() and (tmp_path / "kept").is_dir()
+
+
+def test_verify_and_logger(capsys):
+    import tidemark
+    from tidemark.logs import get_logger
+
+    found = tidemark.verify()
+    assert {"tidemark", "Python", "GIL", "CPU cores", "PySpark"} <= set(found) and tidemark.__version__ in capsys.readouterr().out
+    assert get_logger("tidemark.x") is get_logger("tidemark.x") and len(get_logger("tidemark.x").handlers) == 1
+
+
+def test_library_views_agree_with_the_models(spark):
+    df, pdf = panel(spark)
+    seen = {(r["hour"], r["horizon"], r["day"]): (r["first_train"], r["last_train"], r["train_rows"]) for r in models.training_slices(df, 20, 2).collect()}
+    assert seen[5, 2, 30] == (8, 27, 20) and seen[5, 1, 3] == (0, 1, 2) and (5, 1, 2) in seen and (5, 1, 1) not in seen
+    leads = {r["ts"]: r["price_d+2"] for r in models.with_leads(df, "price", 2).collect()}
+    assert leads[pdf.ts[7].to_pydatetime()] == pdf.price[55]
+    scales = {(r["ts"], r["column"]): r for r in models.window_scales(df, 14, ["price", "monday"]).collect()}
+    own = pdf[pdf.ts.dt.hour == 3].reset_index(drop=True)
+    got = scales[own.ts[20].to_pydatetime(), "price"]
+    assert got["mean"] == pytest.approx(own.price[6:20].mean()) and got["std"] == pytest.approx(own.price[6:20].std()) and not got["binary"]
+    assert scales[own.ts[20].to_pydatetime(), "monday"]["binary"]
+
+
+def test_streaming_panel_counts_late_rows_within_the_watermark(spark, tmp_path):
+    from tidemark.streaming.panel import hourly_panel
+
+    def put(name, *rows):
+        spark.createDataFrame([(dt.datetime.fromisoformat(t), v) for t, v in rows], "ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / name))
+
+    put("a", ("2024-01-01 00:10", 1.0), ("2024-01-01 01:10", 5.0))
+    stream = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+    def run():
+        query = hourly_panel(stream, "2 hours").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    run()
+    put("b", ("2024-01-01 00:50", 3.0), ("2024-01-01 03:30", 7.0))
+    run()
+    put("c", ("2024-01-01 00:55", 99.0), ("2024-01-01 09:00", 0.0))
+    run()
+    put("d", ("2024-01-01 12:00", 0.0))
+    run()
+    got = {str(r["ts"]): (r["price"], r["load"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["2024-01-01 00:00:00"] == (2.0, 2) and got["2024-01-01 01:00:00"] == (5.0, 1) and got["2024-01-01 03:00:00"] == (7.0, 1)
