@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -47,14 +47,14 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_classes_match_brute_force(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(near_dedup, "SMALL_MEMBERS", 40)
+@pytest.mark.parametrize("few", [near_dedup.FEW, 0])
+def test_classes_match_brute_force(spark, monkeypatch, few):
+    if not few:
         monkeypatch.setattr(near_dedup, "SMALL_LINKS", 10)
+    monkeypatch.setattr(near_dedup, "PART_MEMBERS", 8)
     texts = corpus()
-    docs = spark.createDataFrame([(i, t, 1, "b") for i, t in enumerate(texts)], "doc_id long, text string, n int, node string")
-    got = near_dedup.classes(docs).collect()
+    docs = spark.createDataFrame([(i, t, 1, "b") for i, t in enumerate(texts)], "doc_id long, text string, n int, __id string")
+    got = near_dedup.classes(docs, few=few).collect()
     groups = defaultdict(list)
     for r in got:
         groups[r["class_id"]].append(r["id"])
@@ -95,7 +95,6 @@ def test_signatures_estimate_weighted_similarity(weights):
 def test_hot_and_other_leaders_of_a_bucket_meet_all_members(spark, monkeypatch):
     """In the second round the parts of the only bucket are a hot one of two and one of a single member, its leader;
     that leader has the only link, with the hot part's member that does not lead."""
-    monkeypatch.setattr(near_dedup, "SMALL_MEMBERS", 0)
     rng = random.Random(9)
     text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
     tries = []
@@ -112,5 +111,69 @@ def test_hot_and_other_leaders_of_a_bucket_meet_all_members(spark, monkeypatch):
         pytest.fail("no such texts")
     whole = near_dedup.sign
     monkeypatch.setattr(near_dedup, "sign", lambda *a, **k: whole(*a, **k).withColumn("buckets", near_dedup.F.expr("array(7L)")))
-    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), few=0).collect()
     assert sorted((r["id"], r["class_id"]) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 2)]
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_every_due_pair_of_a_bucket_is_compared(spark, monkeypatch, few):
+    """One bucket of 20 texts: all pairs but those already connected are compared, over several rounds or in tasks."""
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(18)]
+    texts = [" ".join(t) for t in [*texts, [*texts[4][:-1], "other"], [*texts[11][:-1], "else"]]]
+    whole, linked, finish = near_dedup.sign, near_dedup._linked, near_dedup._finish
+    monkeypatch.setattr(near_dedup, "sign", lambda *a, **k: whole(*a, **k).withColumn("buckets", near_dedup.F.expr("array(7L, 8L)")))
+    rounds, in_tasks = [], []
+
+    def record(pairs, sets, least):
+        rounds.append([tuple(sorted(r)) for r in pairs.collect()])
+        return linked(pairs, sets, least)
+
+    def seen(active, sets, least):
+        in_tasks.append(active.count())
+        return finish(active, sets, least)
+
+    monkeypatch.setattr(near_dedup, "_linked", record)
+    monkeypatch.setattr(near_dedup, "_finish", seen)
+    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), few=few).collect()
+    assert sorted((r["id"], r["class_id"]) for r in got if r["id"] != r["class_id"]) == [(18, 4), (19, 11)]
+    made = [p for r in rounds for p in r]
+    assert len(rounds) >= 3 and len(made) == len(set(made))
+    if few:
+        assert sum(in_tasks) > 0 and len(made) < 20 * 19 // 2
+    else:  # of the 190 pairs only those that links had connected in earlier rounds may be missing
+        nodes = {r["id"]: r["node"] for r in whole(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        due = {tuple(sorted((nodes[i], nodes[j]))) for i in range(20) for j in range(i)}
+        assert set(made) <= due and len(due - set(made)) <= 2 and not sum(in_tasks)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_weights_are_counts_of_occurrences(spark, weighted):
+    rng = random.Random(8)
+    part = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(3)]
+    texts = [part[0] + " " + part[1], part[0] + " " + part[1] + " " + part[1], part[2], part[2]]
+    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    a, b = bags[:2]
+    similar = sum((a & b).values()) / sum((a | b).values()) if weighted else len(set(a) & set(b)) / len(set(a) | set(b))
+    least = similar - 0.01 if not weighted else similar + 0.01
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["class_id"] for r in near_dedup.classes(docs, least, weighted).collect()}
+    assert got == ({0: 0, 1: 1, 2: 2, 3: 2} if weighted else {0: 0, 1: 0, 2: 2, 3: 2})
+    if weighted:
+        assert {r["id"]: r["class_id"] for r in near_dedup.classes(docs, similar - 0.01, True, n_bands=60, rows=2).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_look_up_of_hot_and_other_keys(spark):
+    rows = near_dedup.settle(spark.createDataFrame([(1, i) for i in range(3000)] + [(k, k) for k in range(2, 60)], "k long, size__ long"), "rows")
+    table = spark.createDataFrame([(k, str(k)) for k in range(0, 50)], "k long, name string")
+    got = sorted(near_dedup.look_up(rows, table, "k").collect())
+    assert got == sorted((r["k"], r["size__"], str(r["k"]) if r["k"] < 50 else None) for r in rows.collect())
+
+
+def test_all_intersections_of_a_bucket(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)] + [np.arange(1000, 1010, dtype=np.uint64)] * 2
+    for some in (sets, sets[:2], sets[-2:], sets[-1:]):
+        want = [(i, j) for i in range(len(some)) for j in range(i + 1, len(some)) if len(set(some[i]) & set(some[j])) >= 0.5 * len(set(some[i]) | set(some[j]))]
+        assert near_dedup._alike(some, 0.5) == want

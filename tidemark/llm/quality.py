@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, SPACE_RX, free_name, text_or_empty
+from .shared import SPACE_CHARS, SPACE_RX, free_name, let, text_or_empty
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -51,11 +51,6 @@ RULES = (
 )
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once: lambda variables are never inlined again."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     trimmed = F.call_function("btrim", text, F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RX, -1))
@@ -70,13 +65,13 @@ def repeat_words(words: Column, k: int = 5) -> Column:
 
     def marked(codes: Column) -> Column:
         by_code = F.sort_array(F.transform(codes, lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
-        return _let(by_code, lambda s: F.sort_array(F.filter(F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["c"] == x["c"]) | (F.get(s, i + 1)["c"] == x["c"]), x["i"])), lambda x: x.isNotNull())))
+        return let(by_code, lambda s: F.sort_array(F.filter(F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["c"] == x["c"]) | (F.get(s, i + 1)["c"] == x["c"]), x["i"])), lambda x: x.isNotNull())))
 
     def covered(places: Column) -> Column:
         return F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(k), F.coalesce(F.get(places, i + 1) - p, F.lit(k)))), F.lit(0), lambda a, x: a + x)
 
     def of_codes(codes: Column) -> Column:
-        return F.when(F.size(F.array_distinct(codes)) == F.size(codes), F.lit(0)).otherwise(_let(marked(codes), covered))
+        return F.when(F.size(F.array_distinct(codes)) == F.size(codes), F.lit(0)).otherwise(let(marked(codes), covered))
 
     def joined(left: Column, right: Column, by: int) -> Column:
         return F.zip_with(left, F.slice(right, by + 1, F.size(right)), lambda a, b: F.xxhash64(a, b))
@@ -85,12 +80,12 @@ def repeat_words(words: Column, k: int = 5) -> Column:
         """codes: hashes of the ``have`` words from each place on; they double, then grow by one word."""
         codes = hashes if codes is None else codes
         if have == k:
-            return _let(F.slice(codes, 1, F.greatest(F.size(hashes) - (k - 1), F.lit(0))), of_codes)
+            return let(F.slice(codes, 1, F.greatest(F.size(hashes) - (k - 1), F.lit(0))), of_codes)
         double = 2 * have <= k
         longer = joined(codes, codes if double else hashes, have)
-        return _let(longer, lambda c: of_hashes(hashes, 2 * have if double else have + 1, c))
+        return let(longer, lambda c: of_hashes(hashes, 2 * have if double else have + 1, c))
 
-    return F.when(F.size(words) < k, F.lit(0)).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: of_hashes(h))).cast("long")
+    return F.when(F.size(words) < k, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: of_hashes(h))).cast("long")
 
 
 def metrics(text: Column) -> dict[str, Column]:
@@ -116,13 +111,13 @@ def measure(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
             F.size(lines).alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*(?:[-*•]|\d+\.)[\x20\x09-\x0D]"))).alias("n_bullets"),
-            F.size(F.filter(lines, lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("n_ellipses"),
+            F.size(F.filter(lines, lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*\z"))).alias("n_ellipses"),
         )
 
     parts = metrics(text)
     counts = F.struct(
-        _let(parts["words"], of).alias("w"),
-        _let(parts["lines"], of_lines).alias("l"),
+        let(parts["words"], of).alias("w"),
+        let(parts["lines"], of_lines).alias("l"),
         removed(r"[^#*$%&|<>]+").cast("long").alias("n_symbols"),
         removed(r"[^!]+").alias("n_exclaim"),
         removed(r"[\p{L}\x20\x09-\x0D]+").alias("n_other"),

@@ -19,20 +19,29 @@ HOT_SHARE = 1000
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a
+    The cluster names that folder in ``spark.checkpoint.dir``. Only on one machine (tests) and where that is unset, a
     temporary folder is chosen and recorded in the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+#: Scratch paths handed out and not removed yet.
+_SCRATCH: list[str] = []
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared table and read it back.
 
-    This cuts the lineage, fixes values that depend on task order, and survives the loss of executors.
+    This cuts the lineage, fixes values that depend on task order, and survives the loss of executors. Results read
+    such tables until they are written themselves; ``clear`` then deletes them.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -43,12 +52,31 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path, wherever it is stored."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
+def marked() -> int:
+    """A mark for ``clear``: scratch paths handed out from now on come after it."""
+    return len(_SCRATCH)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the scratch tables made since a mark, once the results that read them are written; ``keep`` stays."""
+    for path in _SCRATCH[since:]:
+        if path != keep:
+            remove(spark, path)
 
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once: lambda variables are never inlined again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a longer name if ``df`` has such a column already (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -75,3 +103,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, parts:
         hot, rest = groups.filter(is_hot), groups.filter(~is_hot)
         keys = hot.select(key)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(keys), key, "left_anti").join(rest, key))
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` (settled) with a table of unique keys, where a key may hold a third of all rows."""
+    size = free_name(rows.crossJoin(table.drop(key)), "size__")
+    groups = settle(rows.groupBy(key).agg(F.count("*").alias(size)).join(table, key, "left"), "keys")
+    return join_groups(rows, groups, key, size).drop(size)
