@@ -43,6 +43,7 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 FOLDS, FOLD_RATE = 2, 0.2
 GROUPS, LEAVES, TABLE_WORDS, CONTEXT, DIM = 128, 4.0, 1 << 18, 4, 16
 BATCH, NOISE, LEAF_NOISE = 2048, 64, 2
+BLOCK = 16384
 ENDINGS = 4096
 
 
@@ -167,14 +168,20 @@ class LogBilinear:
     def _leaf_at(self, at: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         return np.minimum(np.searchsorted(self.upto, at, side="right") - 1, self.leaves - 1 if most is None else most)
 
+    def log_p_of(self, leaf: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each token of some texts, in blocks that stay in cache."""
+        contexts, out = self.contexts(leaf, ptr), np.empty(len(leaf))
+        for a in range(0, len(leaf), BLOCK):
+            out[a : a + BLOCK] = self.log_p(self.predicted(contexts[a : a + BLOCK]), leaf[a : a + BLOCK])
+        return out
+
     def log_p(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Natural log-probability of each leaf after its context's predicted vector."""
         p, group = self.parts, self.group[leaf]
         one = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
         of_groups, of_leaves = (np.concatenate([p[k], p[b][:, None]], 1) for k, b in (("r", "b"), ("s", "a")))
         out = np.einsum("nd,nd->n", one, of_groups[group] + of_leaves[leaf]).astype(float)
-        for a in range(0, len(leaf), 1024):
-            out[a : a + 1024] -= _log_sums(one[a : a + 1024], of_groups)
+        out -= _log_sums(one, of_groups)
         order = np.argsort(_narrow(group, self.groups), kind="stable")
         cut = np.searchsorted(group[order], np.arange(self.groups + 1))
         for g in np.flatnonzero(np.diff(cut)):
@@ -375,7 +382,7 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
                 count = len(ptr) - 1
                 row, leaf = model.placed(found, ending)
                 group, known = net.group[leaf], row >= 0
-                logs = net.log_p(net.predicted(net.contexts(leaf, ptr)), leaf) / np.log(10)
+                logs = net.log_p_of(leaf, ptr) / np.log(10)
                 logs[known] += seen[row[known]]
                 base = np.zeros(len(found))
                 base[known] = base_of[row[known]]
