@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.llm import substring_dedup as sub
@@ -53,12 +54,69 @@ def test_matches_brute_force(spark, monkeypatch, chars):
 def test_heavy_prefixes_are_lengthened(spark):
     text = "the of " * 4000 + " ".join(f"w{i}" for i in range(2000))
     docs = spark.createDataFrame([(text,), (text,)], "text string")
-    heavy = sub.heavy_prefixes(docs, 2 * len(text), 8)
+    heavy = sub.heavy_prefixes(docs, 8, share_of=1)
     assert len(heavy[1]) == 2 and len(heavy[2]) == 2
     w = words.fingerprint([text])
-    assert len(np.unique(sub.suffixes(w, 13, heavy)[2])) >= len(np.unique(sub.suffixes(w, 13, {})[2]))
+    at = sub.starts(w, 13)
+    assert len(np.unique(sub.prefixes(w, at, 13, heavy))) >= len(np.unique(sub.prefixes(w, at, 13, {})))
 
 
 def test_codes_pack_and_unpack():
-    codes = np.unique(np.random.default_rng(0).integers(0, 2**60, 1000, dtype=np.uint64))
-    assert (sub._unpack(*sub._pack(codes)) == codes).all()
+    codes = np.sort(np.random.default_rng(0).integers(0, 2**40, 1000, dtype=np.uint64) // np.uint64(3))
+    codes[5] = codes[4]
+    for some in (codes, codes[:1], np.zeros(2, np.uint64)):
+        assert (sub._unpack(*sub._pack(some)) == some).all()
+
+
+def test_false_alarms_of_fingerprints_remove_nothing(spark, monkeypatch):
+    """With fingerprints of 2 bits all suffixes go to the trees, where words decide."""
+    monkeypatch.setattr(sub, "CODE_BITS", 2)
+    monkeypatch.setattr(sub, "sizes", lambda c: (4, 3))
+    rows = [(i, t) for i, t in corpus(30) if i is not None]
+    got = sub.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(brute(rows))
+    code = sub._pack(np.array([0, 1, 1, 3], np.uint64))
+    parts = pd.DataFrame([(5, *code), (2, *sub._pack(np.array([2, 3], np.uint64)))], columns=["chunk", "n", "width", "data"])
+    bits = {c: np.unpackbits(np.frombuffer(b, np.uint8))[:4].tolist() for c, b in sub._again(parts)}
+    assert bits == {5: [0, 1, 1, 1], 2: [0, 1, 0, 0]}
+
+
+def test_string_ids_over_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sub, "sizes", lambda c: (4, 3))
+    rows = [(None if i is None else f"doc-{i % 10**9:04d}", t) for i, t in corpus(40)]
+    order = {d: n for n, d in enumerate(sorted({d for d, _ in rows if d}))}
+    want = sorted((d or "~", *r[1:]) for (d, _), r in zip(rows, brute([(order.get(d), t) for d, t in rows])))
+    got = sub.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "~", r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+
+
+def test_deep_nodes_of_a_small_tree():
+    suffixes = [b"a b c", b"a b c", b"a b c d", b"a b x", b"a c", b"b c d e", b"b c d f", b"c"]
+    assert sub.deep_nodes(suffixes, 2) == [(2, 0, 4), (3, 0, 3), (3, 5, 7)]
+    assert sub.deep_nodes(suffixes, 1) == [(1, 0, 5), (2, 0, 4), (3, 0, 3), (3, 5, 7)]
+    assert sub.top_nodes([b"a b", b"a b", b"a b c", b"a c", b"b"], 2).tolist() == [0, 0, 0, 1, 2]
+
+
+def brute_repeats(texts, k):
+    found = defaultdict(list)
+    for t in texts:
+        w = (t or "").split()
+        for a in range(len(w)):
+            for b in range(a + k, len(w) + 1):
+                found[tuple(w[a:b])].append((w[a - 1] if a else None, w[b] if b < len(w) else None))
+    wide = lambda x: len(set(x)) > 1 or None in x
+    return {(" ".join(s), len(s), len(o)) for s, o in found.items() if len(o) > 1 and wide([x for x, _ in o]) and wide([y for _, y in o])}
+
+
+@pytest.mark.parametrize("parts", [(1, 1), (3, 4)])
+def test_maximal_repeats_match_brute_force(spark, monkeypatch, parts):
+    monkeypatch.setattr(sub, "sizes", lambda c: parts)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(12)]
+    passage = " ".join(f"p{i}" for i in range(9))
+    texts += [f"x {passage} y", f"z {passage}", f"x {passage} w", f"{passage} {passage}", None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {(r["words"], r["n_words"], r["occurrences"]) for r in sub.maximal_repeats(docs, 4, 30).collect()}
+    assert got == brute_repeats(texts, 4)
+    cut = sub.maximal_repeats(docs, 4, 6).filter("is_cut").collect()
+    assert cut and all(r["n_words"] == 6 for r in cut) and sub.maximal_repeats(docs.limit(0)).count() == 0
