@@ -4,8 +4,10 @@ An ARC file starts with a version block that names the fields of its record line
 Each record line ends in the declared length of what follows. From these the converter synthesises WARC identifiers,
 timestamps, types and digests. Of records with equal payloads one is a response, the others are revisits of it.
 
-Files are written by Spark's text sink, whose line separator is the records' own terminator, and read as whole binary
-files, so any store that Spark can reach will do. Their size is that of an input split.
+An archive file is one row of Spark's text sink, written as it is: each record a gzip member of its own, some ``FILE_BYTES``
+of records or one larger record in a file, whatever the input's splits are. Files are read as binary rows, so any store
+that Spark can reach will do; files of other makers can be as large as a row, under 2 GB. A record's identifier comes from
+its place in the archive it was read from, so no two are equal.
 
 Defined cases: a null html is an empty payload, a null url ``about:blank``. Null page ids count as the smallest. Rows
 that repeat a page id are records of their own. White space in urls is percent-encoded. An empty table gives archives
@@ -20,12 +22,12 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import join_groups, remove, scratch_path, settle
@@ -35,11 +37,14 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-_NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _DATE = "20240101000000"
 _NO_PAGE = -(1 << 63)
 _CHUNK_BYTES = 4 << 20
+#: Records of one archive file before compression, about.
+FILE_BYTES = 16 << 20
+#: Compressed files of one task, about, and the number of tasks up to which they stay so small.
+TASK_BYTES, MANY_TASKS = 4 << 20, 10_000
 
 
 def sha1_base32(data: bytes) -> str:
@@ -50,16 +55,20 @@ def safe_url(url: str | None) -> str:
     return _UNSAFE.sub(lambda m: f"%{ord(m.group()):02X}", url) if url else "about:blank"
 
 
+def member(data: bytes) -> bytes:
+    """One gzip member."""
+    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
 def inflate(data: bytes) -> bytes:
     """The content of a file of one or many gzip members, or the data itself."""
     out = io.BytesIO()
     while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.write(member.decompress(data))
-        data = member.unused_data.lstrip(b"\0")
-        if not data:
-            return out.getvalue()
-    return out.getvalue() + data
+        unpacker = zlib.decompressobj(31)
+        out.write(unpacker.decompress(data))
+        data = unpacker.unused_data
+    return out.getvalue() + data.lstrip(b"\0")
 
 
 # ARC
@@ -71,26 +80,50 @@ def arc_head(version: int, name: str) -> str:
     return f"{line}{len(body)}\n{body}"
 
 
-def arc_record(version: int, page_id: int | None, url: str | None, html: str, name: str) -> str:
-    raw = len(html.encode("utf-8", "surrogatepass"))
-    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + ("" if page_id is None else f"X-Page-Id: {page_id}\r\n") + f"Content-Length: {raw}\r\n\r\n"
+def arc_record(version: int, page_id: int | None, url: str | None, html: str, name: str) -> bytes:
+    body = html.encode("utf-8", "surrogatepass")
+    page = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{page}Content-Length: {len(body)}\r\n\r\n".encode()
     line = f"{safe_url(url)} 0.0.0.0 {_DATE} text/html " + ("" if version == 1 else f"200 - - 0 {name} ")
-    return f"{line}{len(head) + raw}\n{head}{html}"
+    return f"{line}{len(head) + len(body)}\n".encode("utf-8", "surrogatepass") + head + body
+
+
+def _files_of(records: Iterator[bytes], head: Callable[[int], bytes], end: bytes) -> Iterator[pd.DataFrame]:
+    """Rows of one archive file each: the file's head, then records up to ``FILE_BYTES``. There is one file at least."""
+    number, held, parts = 0, 0, [member(head(0) + end)]
+    for r in records:
+        if held and held + len(r) > FILE_BYTES:
+            yield pd.DataFrame({"value": [b"".join(parts)]})
+            number, held = number + 1, 0
+            parts = [member(head(number) + end)]
+        parts.append(member(r + end))
+        held += len(r)
+    yield pd.DataFrame({"value": [b"".join(parts)]})
+
+
+def _write(files: DataFrame, path: str) -> None:
+    """One file for each row, followed by a zero byte, which readers of gzip take for padding."""
+    rows = files.select(F.col("value").cast("string").alias("value"))
+    rows.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One gzipped ARC file for each partition, of version 1 and 2 in turn."""
+    """Gzipped ARC files of bounded size; partitions write version 1 and 2 in turn."""
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId()
         version, name = number % 2 + 1, f"part-{number:05d}.arc"
-        yield pd.DataFrame({"value": [arc_head(version, name)]})
-        for b in batches:
-            ids = [None if pd.isna(i) else int(i) for i in b["i"]]
-            yield pd.DataFrame({"value": [arc_record(version, i, u, h or "", name) for i, u, h in zip(ids, b["u"], b["h"])]})
 
-    some = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
-    some.mapInPandas(records, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                for i, u, h in zip(b["i"], b["u"], b["h"]):
+                    yield arc_record(version, None if pd.isna(i) else int(i), u, h or "", name)
+
+        yield from _files_of(records(), lambda k: arc_head(version, f"{k}-{name}").encode(), b"\n")
+
+    # Ids as text: with a null among them pandas would make them floats.
+    some = pages.select(F.col(id_col).cast("long").cast("string").alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
+    _write(some.mapInPandas(files, "value binary"), path)
 
 
 @dataclass
@@ -136,8 +169,8 @@ def split_http(content: bytes) -> tuple[bytes, bytes, int | None]:
     return head + gap, payload, int(found.group(1)) if found else None
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str, what: str = "content") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", what)
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -161,11 +194,6 @@ def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataF
     return _files(spark, path).mapInPandas(parse, "file string, spot long, url string, date string, page_id long, payload_bytes long, payload_digest string" + (", head binary, payload binary" if with_payload else ""))
 
 
-def _write(records: DataFrame, end: str, path: str) -> None:
-    """Files of the records' bytes, each ended by ``end``."""
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").text(path)
-
-
 # WARC
 
 
@@ -175,33 +203,53 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(url: str, date: str, digest: str, page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {digest} {page_id}')}>"
+def record_id(key: bytes) -> str:
+    """An identifier from 16 bytes of a digest."""
+    return f"<urn:uuid:{uuid.UUID(bytes=key, version=5)}>"
+
+
+def place_key(file: str, spot: int) -> bytes:
+    """What makes a record's identifier: its place in the archive it comes from; ``_place_key`` is the same in Spark."""
+    return hashlib.sha256(f"{file} {spot}".encode()).digest()[:16]
+
 
+def _place_key(file: str, spot: str) -> Column:
+    return F.substring(F.unhex(F.sha2(F.concat_ws(" ", F.col(file), F.col(spot).cast("string")), 256)), 1, 16)
 
-def warc_record(r: ArcRecord, refers_to: int | None, is_revisit: bool) -> bytes:
+
+@dataclass
+class Revisited:
+    """The response that a revisit refers to."""
+
+    page_id: int | None
+    key: bytes
+
+
+def warc_record(r: ArcRecord, key: bytes, refers_to: Revisited | None) -> bytes:
     """The WARC record of an ARC record: a response, or a revisit that has the HTTP header alone."""
     head, payload, page_id = split_http(r.content)
-    digest, block = sha1_base32(payload), head if is_revisit else r.content
+    digest, block = sha1_base32(payload), head if refers_to else r.content
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(r.url, r.date, digest, page_id)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {record_id(key)}",
         f"WARC-Date: {iso_date(r.date)}", f"WARC-Target-URI: {r.url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
-    if is_revisit:
+    if refers_to:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if refers_to is not None:
-            lines.append(f"X-Refers-To-Page: {refers_to}")
+        lines.append(f"WARC-Refers-To: {record_id(refers_to.key)}")
+        if refers_to.page_id is not None:
+            lines.append(f"X-Refers-To-Page: {refers_to.page_id}")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass") + block
 
 
 def warc_info(name: str) -> bytes:
     info = "software: tidemark\r\nformat: WARC File Format 1.1\r\n"
-    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name, _DATE, '', None)}\r\nWARC-Date: {iso_date(_DATE)}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
-    return (head + info).encode()
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(place_key(name, -1))}", f"WARC-Date: {iso_date(_DATE)}", f"WARC-Filename: {name}"]
+    lines += ["Content-Type: application/warc-fields", f"Content-Length: {len(info)}"]
+    return ("\r\n".join(lines) + "\r\n\r\n" + info).encode()
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
@@ -209,34 +257,37 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
 
     Only keys and digests are grouped; a group's response is the record with the largest page id, and a group of any
     size is joined safely. What was decided on a file's records, a list no longer than the file, then meets the file
-    itself: the shuffle carries compressed files, not payloads. Payloads are bytes of any encoding.
+    itself: the shuffle carries compressed files, not payloads, in as many tasks as their bytes ask for. Payloads are
+    bytes of any encoding.
     """
-    keys = settle(read_arc(spark, arc_path, with_payload=False), "records")
+    keys = settle(read_arc(spark, arc_path, with_payload=False).select("file", "spot", "page_id", "payload_digest", "payload_bytes"), "records")
     groups = keys.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "file", "spot")).alias("top"), F.count("*").alias("n"))
     groups = groups.select("payload_digest", F.col("top.page_id").alias("refers_to"), F.col("top.file").alias("top_file"), F.col("top.spot").alias("top_spot"), "n")
+    groups = settle(groups.filter("n > 1").withColumn("top_key", _place_key("top_file", "top_spot")), "groups")
     typed = join_groups(keys.select("file", "spot", "payload_digest"), groups, "payload_digest", "n")
     # Records not listed are responses.
     revisits = typed.filter((F.col("file") != F.col("top_file")) | (F.col("spot") != F.col("top_spot")))
-    listed = revisits.groupBy("file").agg(F.collect_list("spot").alias("spots"), F.collect_list(F.coalesce("refers_to", F.lit(_NO_PAGE))).alias("refers"))
+    entry = F.struct("spot", F.coalesce("refers_to", F.lit(_NO_PAGE)).alias("refers_to"), "top_key")
+    size = _files(spark, arc_path, "length").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n_tasks = max(1, min(-(-size // TASK_BYTES), max(MANY_TASKS, -(-size // (16 * TASK_BYTES)))))
+    listed = revisits.groupBy("file").agg(F.collect_list(entry).alias("found"))
+    listed = listed.select("file", "found.spot", "found.refers_to", "found.top_key").repartition(n_tasks, "file")
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [warc_info(f"part-{TaskContext.get().partitionId():05d}.warc")]
-        held = 0
-        for batch in batches:
-            for content, spots, refers in zip(batch["content"], batch["spots"], batch["refers"]):
-                at = {} if spots is None else dict(zip(spots.tolist(), refers.tolist()))
-                for r in parse_arc(inflate(content)):
-                    refers_to = at.get(r.offset)
-                    rows.append(warc_record(r, None if refers_to == _NO_PAGE else refers_to, r.offset in at))
-                    held += len(rows[-1])
-                    if held > _CHUNK_BYTES:
-                        yield pd.DataFrame({"value": rows})
-                        rows, held = [], 0
-        if rows:
-            yield pd.DataFrame({"value": rows})
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
 
-    whole = _files(spark, arc_path).join(listed, F.col("path") == F.col("file"), "left").select("content", "spots", "refers")
-    _write(whole.mapInPandas(records, "value binary"), "\r\n\r\n", warc_path)
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for path, content, spots, refers, keys in zip(batch["path"], batch["content"], batch["spot"], batch["refers_to"], batch["top_key"]):
+                    at = {} if spots is None else dict(zip(spots.tolist(), zip(refers.tolist(), keys)))
+                    for r in parse_arc(inflate(content)):
+                        page, key = at.get(r.offset, (None, None))
+                        yield warc_record(r, place_key(path, r.offset), None if key is None else Revisited(None if page == _NO_PAGE else page, bytes(key)))
+
+        yield from _files_of(records(), lambda k: warc_info(f"part-{task:05d}-{k}.warc.gz"), b"\r\n\r\n")
+
+    whole = _files(spark, arc_path).repartition(n_tasks, "path").join(listed, F.col("path") == F.col("file"), "left")
+    _write(whole.select("path", "content", "spot", "refers_to", "top_key").mapInPandas(files, "value binary"), warc_path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -258,7 +309,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Responses and revisits: (page_id, url, date, record_id, record_type, payload_bytes, payload_digest, refers_to, intact).
+    """Responses and revisits: (page_id, url, date, record_id, record_type, payload_bytes, payload_digest, refers_to,
+    refers_to_id, intact). ``refers_to`` is a page id, ``refers_to_id`` the identifier of the response.
 
     ``intact``: the block has its declared length and digest, and so has a response's payload.
     """
@@ -275,11 +327,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if head["warc-type"] == "response":
                         payload = split_http(block)[1]
                         intact &= sha1_base32(payload) == digest and len(payload) == number("x-payload-length")
-                    rows.append((number("x-page-id"), head["warc-target-uri"], head["warc-date"], head["warc-record-id"], head["warc-type"], number("x-payload-length"), digest, number("x-refers-to-page"), intact))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "date", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "intact"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
-
-    return _files(spark, path).mapInPandas(parse, "page_id long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, intact boolean")
+                    rows.append(
+                        (number("x-page-id"), head["warc-target-uri"], head["warc-date"], head["warc-record-id"], head["warc-type"], number("x-payload-length"),
+                         digest, number("x-refers-to-page"), head.get("warc-refers-to"), intact)
+                    )
+                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+
+    schema = (
+        "page_id long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, "
+        "refers_to long, refers_to_id string, intact boolean"
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
+    return _files(spark, path).mapInPandas(parse, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
