@@ -1,13 +1,14 @@
 """Personal data by weak supervision, in native functions alone.
 
-Regular expressions propose candidate spans. Four labelers vote on each (1 personal, 0 not, null: no opinion): a strict
-form of the kind's pattern, a gazetteer, cue words in the context, and the span's edges. Expectation-maximisation over
-the table of vote patterns, whose size the labelers bound, estimates each labeler's reliability for each kind. The
-posteriors then train the final span classifier, a naive Bayes model over bounded features. Spans of the base kinds
-(email, ip, card, phone) always stay; the classifier decides on all others.
+Regular expressions propose candidate spans. Five labelers vote on each (1 personal, 0 not, null: no opinion): a strict
+form of the kind's pattern, a gazetteer of known values, a check of its make-up (checksum, variety of characters), cue
+words in the context on both sides, and the span's edges. Expectation-maximisation over the table of vote patterns,
+whose size the labelers bound, estimates each labeler's reliability for each kind. The posteriors then train the final
+span classifier, a naive Bayes model over bounded features of the span and its neighbours, votes not among them. Spans
+of the base kinds (email, ip, card, phone) always stay; the classifier decides on all others.
 
-A pattern is matched as the gap before it and itself, anchored at the last match's end, so each text is scanned once
-for each kind and places are running sums of lengths in code points. Texts without a kind's trigger are not scanned.
+Each text is scanned once for each kind whose trigger it has: matches are marked and the text is split at the marks, so
+places are running sums of lengths in code points. A text's own mark characters are replaced before, one for one.
 
 Defined cases: a null text counts as an empty one. Null and repeated ids are rows like others. Extra columns are
 ignored. Without candidates all counts are 0 and span lists empty; an empty table gives no rows.
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, text_or_empty
+from .shared import let, settle, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,27 @@ class Kind:
     strict: str
     cues: str
     against: str = r"(?i)(?:version|release|section|chapter|figure)\W*$"
+    #: What a candidate is worth before any vote: most patterns are specific, one is not.
+    lean: float = 0.75
 
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _NAMED = r"password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key"
-#: Given names, public suffixes and issuer prefixes that the gazetteer labeler knows.
-GIVEN_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Pierre Marie Jean Claire Hans Anna Karl Greta Jose Carmen Juan Lucia".split()
-SUFFIXES = "com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au jp cn in br ru ch at be se no".split()
+#: Fixed values that the gazetteer labeler knows: given names, public suffixes, calling codes, countries with IBANs,
+#: numbers printed as examples, and words that stand for a secret.
+GIVEN_NAMES = (
+    "Adam Alice Andrea Anna Antonio Barbara Carlos Carmen Charles Christopher Claire Daniel David Elena Elizabeth Emma Francisco Greta Hans Isabel James Jan Jean "
+    "Jennifer Jessica John Jose Joseph Juan Julia Karen Karl Katarzyna Laura Linda Lucia Manuel Marco Maria Marie Mark Mary Matthew Michael Nancy Patricia Paul "
+    "Peter Pierre Piotr Richard Robert Sarah Sofia Stephen Susan Thomas Ursula William"
+).split()
+SUFFIXES = (
+    "ai app at au be biz br ca ch cn co com cz de dev dk edu es eu fi fr gov gr hu ie in info int io it jp kr mil mx net nl no nz online org pl pt ro ru se sg "
+    "shop site sk tr tw ua uk us xyz za"
+).split()
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 64 65 81 82 86 90 91 351 352 353 354 356 358 359 370 371 372 380 385 386 420 421".split()
+IBAN_COUNTRIES = "AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO RS SE SI SK SM TR UA".split()
+EXAMPLES = "4111111111111111 5555555555554444 378282246310005 6011111111111117 078-05-1120 219-09-9999".split()
+PLACEHOLDERS = "changeme|example|placeholder|password|secret|test|dummy|xxxx|your|none|null|0000|1234"
 
 #: Candidate patterns. Possessive quantifiers and look-behind keep each scan linear; they change no match.
 BASE = (
@@ -53,22 +68,28 @@ MORE = (
     Kind("key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", r"AKIA|ASIA", r"^A[KS]IA(?=.*[0-9])[0-9A-Z]{16}$", r"(?i)(?:key|id|aws)\W*$"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"(?i)(?:ssn|social|security)\W*(?:number\W*)?$"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,38}$", r"(?i)(?:iban|account|bank|konto)\W*$"),
-    Kind("name", rf"(?<![\p{{L}}])(?:{'|'.join(GIVEN_NAMES)})\x20\p{{Lu}}\p{{Ll}}+(?![\p{{L}}])", "|".join(GIVEN_NAMES), r"^\p{Lu}\p{Ll}+\x20\p{Lu}\p{Ll}{2,}$", r"(?i)(?:mr|mrs|ms|dr|dear|name|by|from)\W*$"),
+    Kind("name", r"(?<![\p{L}])(?!(?:Mr|Mrs|Ms|Dr|Dear|From|By|To|The)\x20)\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++(?![\p{L}])", r"\p{Ll}\x20\p{Lu}\p{Ll}", r"^\p{Lu}\p{Ll}{1,14}\x20\p{Lu}\p{Ll}{2,14}$", r"(?i)\b(?:mr|mrs|ms|dr|dear|name|by|from)\W*$", lean=0.1),
 )
 KINDS = BASE + MORE
 CONTEXT = 40
+#: Marks a match; a private character, so no pattern has it.
+MARK, STAND_IN = "\uE000", "\uFFFD"
 
 
 def _parts(text: Column, kind: Kind) -> Column:
-    """(gap, hit, next character) of each match, in order; empty without the trigger."""
-    rx = F.lit(rf"(?s)\G(.*?)({kind.pattern})(?=(.?))")
-    part = [F.regexp_extract_all(text, rx, F.lit(g)) for g in (1, 2, 3)]
-    rows = F.zip_with(
-        F.zip_with(part[0], part[1], lambda g, h: F.struct(F.lit(kind.name).alias("kind"), F.length(g).alias("gap"), F.substring(g, -CONTEXT, CONTEXT).alias("left"), h.alias("hit"))),
-        part[2],
-        lambda x, r: F.struct(x["kind"].alias("kind"), x["gap"].alias("gap"), x["left"].alias("left"), x["hit"].alias("hit"), r.alias("right")),
-    )
-    return F.when(text.rlike(kind.trigger), F.transform(rows, lambda x, i: F.struct(i.alias("n"), x.alias("x"))))
+    """Numbered (gap, left, hit, right) of each match, in order; null without the trigger. Gap: characters before it."""
+
+    def cut(parts: Column) -> Column:
+        def one(i: Column) -> Column:
+            gap, hit, after = (F.get(parts, 2 * i + k) for k in (0, 1, 2))
+            span = (F.lit(kind.name).alias("kind"), F.length(gap).alias("gap"), F.substring(gap, -CONTEXT, CONTEXT).alias("left"), hit.alias("hit"))
+            return F.struct(i.cast("int").alias("n"), F.struct(*span, F.substring(after, 1, CONTEXT).alias("right")).alias("x"))
+
+        hits = ((F.size(parts) - 1) / 2).cast("int")
+        return F.when(hits > 0, F.transform(F.sequence(F.lit(0), hits - 1), one))
+
+    marked = F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(text.rlike(kind.trigger), let(marked, cut))
 
 
 def _valid() -> Column:
@@ -84,7 +105,7 @@ def _valid() -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Settled candidate spans (uid, id, kind, start, end, hit, left, right); a row without kind for each document."""
-    text = text_or_empty(text_col)
+    text = F.translate(text_or_empty(text_col), MARK, STAND_IN)
     none = F.array(F.lit(None).cast("struct<n:int,x:struct<kind:string,gap:int,left:string,hit:string,right:string>>"))
     found = F.concat(none, *[F.coalesce(_parts(text, k), F.slice(none, 1, 0)) for k in KINDS])
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), found.alias("found"))
@@ -106,27 +127,73 @@ def votes() -> dict[str, Column]:
         return out
 
     suffix = F.lower(F.regexp_extract(hit, r"\.([A-Za-z]+)$", 1))
+    digits = F.regexp_replace(hit, "[^0-9]", "")
+    known = lambda c: F.when(c, 1).otherwise(0)
+    against = lambda c: F.when(c, 0)
     gazetteer = (
-        F.when(kind == "email", F.when(suffix.isin(*SUFFIXES), 1).otherwise(0))
-        .when(kind == "ip", F.when(hit.rlike(r"^(?:0|127|255)\."), 0).otherwise(1))
-        .when(kind == "card", F.when(hit.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(0))
-        .when(kind == "phone", F.when(hit.rlike(r"^\+[1-9]"), 1).otherwise(0))
-        .when(kind == "name", F.when(F.split(hit, " ")[0].isin(*GIVEN_NAMES), 1).otherwise(0))
+        F.when(kind == "email", known(suffix.isin(*SUFFIXES)))
+        .when(kind == "ip", known(~hit.rlike(r"^0*(?:0|10|127|255|169\.254|192\.168|198\.51\.100|203\.0\.113)\.")))
+        .when(kind == "card", known(hit.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)") & ~digits.isin(*EXAMPLES)))
+        .when(kind == "phone", known(hit.rlike(rf"^\+(?:{'|'.join(CALLING)})")))
+        .when(kind == "secret", against(hit.rlike(rf"(?i){PLACEHOLDERS}")))
+        .when(kind == "key", against(hit.contains("EXAMPLE")))
+        .when(kind == "ssn", against(hit.isin(*EXAMPLES)))
+        .when(kind == "iban", known(F.substring(hit, 1, 2).isin(*IBAN_COUNTRIES)))
+        .when(kind == "name", known(F.split(hit, " ")[0].isin(*GIVEN_NAMES)))
+    )
+    variety = F.size(F.array_distinct(F.split(hit, "")))
+    check = (
+        F.when(kind == "email", known(hit.rlike(r"^[^@]{1,64}@[^@]{3,253}$") & ~hit.contains("..")))
+        .when(kind == "phone", known(F.length(digits).between(10, 13)))
+        .when(kind.isin("secret", "key"), known((variety >= 8) & hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")))
+        .when(kind == "ssn", known(F.size(F.array_distinct(F.split(digits, ""))) > 2))
+        .when(kind == "iban", known(_mod_97(hit) == 1))
+        .when(kind == "card", known(variety > 3))
     )
+
+    def context(k: Kind) -> Column:
+        """Cues before or behind; a pair of capitalised words without one is no name, other kinds need none."""
+        behind = r"(?i)^\W*" + k.cues.removeprefix("(?i)").removesuffix(r"\W*$") + r"\b"
+        found = F.when(left.rlike(k.cues) | right.rlike(behind), 1).when(left.rlike(k.against), 0)
+        return found.otherwise(0) if k.name == "name" else found
+
     joined = left.rlike(r"[\p{L}\p{N}_]$") | right.rlike(r"^[\p{L}\p{N}_]")
     return {
-        "pattern": by_kind(lambda k: F.when(hit.rlike(k.strict), 1).otherwise(0)),
+        "pattern": by_kind(lambda k: known(hit.rlike(k.strict))),
         "gazetteer": gazetteer,
-        "context": by_kind(lambda k: F.when(left.rlike(k.cues), 1).when(left.rlike(k.against), 0)),
+        "check": check,
+        "context": by_kind(context),
         "edges": F.when(joined, 0).otherwise(1),
     }
 
 
-def reliabilities(patterns: list[tuple[tuple, int]], turns: int = 30) -> tuple[float, list[tuple[float, float]], dict[tuple, float]]:
+def _mod_97(account: Column) -> Column:
+    """The remainder of an IBAN's check: its first four characters go last, and A-Z count 10 to 35."""
+    plain = F.upper(F.regexp_replace(account, "[^A-Za-z0-9]", ""))
+    turned = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+
+    def step(rest: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(letter < 10, (rest * 10 + F.ascii(c) - 48) % 97).otherwise((rest * 100 + letter) % 97)
+
+    return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), step)
+
+
+def reliabilities(patterns: list[tuple[tuple, int]], turns: int = 30, lean: float = 0.75) -> tuple[float, list[tuple[float, float]], dict[tuple, float]]:
     """Expectation-maximisation over (votes, count): the share of true spans, each labeler's chances to vote 1 on a true
-    and on a false span, and each vote pattern's posterior. Starts from a majority vote with a lean to true."""
+    and on a false span, and each vote pattern's posterior.
+
+    Starts from ``lean`` and the votes' deviations from each labeler's mean, so one that always says the same says nothing.
+    """
     width = len(patterns[0][0])
-    post = {v: (1 + sum(x for x in v if x is not None)) / (2 + sum(x is not None for x in v)) for v, _ in patterns}
+    mean = []
+    for j in range(width):
+        cast = [(v[j], n) for v, n in patterns if v[j] is not None]
+        mean.append(sum(x * n for x, n in cast) / max(sum(n for _, n in cast), 1))
+    post = {}
+    for v, _ in patterns:
+        off = [x - m for x, m in zip(v, mean) if x is not None]
+        post[v] = min(0.95, max(0.05, lean + sum(off) / max(len(off), 1)))
     for _ in range(turns):
         true, false = sum(n * post[v] for v, n in patterns), sum(n * (1 - post[v]) for v, n in patterns)
         prior, rates = (true + 1) / (true + false + 2), []
@@ -145,12 +212,19 @@ def reliabilities(patterns: list[tuple[tuple, int]], turns: int = 30) -> tuple[f
 
 
 def _features() -> Column:
-    """Bounded features of a span: kind with each vote, shape, and its neighbours."""
-    size = F.least(F.floor(F.log2(F.length("hit") + 1)), F.lit(8)).cast("string")
-    shape = F.concat_ws("", *[F.when(F.col("hit").rlike(p), n).otherwise("-") for n, p in (("d", "[0-9]"), ("u", "[A-Z]"), ("l", "[a-z]"), ("s", r"[^A-Za-z0-9]"))])
-    each = [F.concat(F.lit(f"{n}="), F.coalesce(F.col(f"vote_{n}").cast("string"), F.lit("?"))) for n in ("pattern", "gazetteer", "context", "edges")]
-    sides = [F.concat(F.lit("size="), size), F.concat(F.lit("shape="), shape)]
-    return F.transform(F.array(*each, *sides), lambda f: F.concat(F.col("kind"), F.lit(":"), f))
+    """Bounded features of a span: its length, make-up and neighbours. The labelers' votes are none of them."""
+    hit, n = F.col("hit"), F.length("hit")
+    bucket = lambda c: F.least(F.floor(c), F.lit(9)).cast("string")
+    shape = F.concat_ws("", *[F.when(hit.rlike(p), n_).otherwise("-") for n_, p in (("d", "[0-9]"), ("u", "[A-Z]"), ("l", "[a-z]"), ("s", r"[^A-Za-z0-9]"))])
+    digits = bucket(10 * (n - F.length(F.regexp_replace(hit, "[0-9]", ""))) / n)
+    marks = bucket(F.length(F.regexp_replace(hit, r"[\p{L}\p{N}]", "")))
+    word = F.lower(F.regexp_extract("left", r"([\p{L}\p{N}_]+)\W*$", 1))
+    side = lambda c: F.when(c == "", "none").when(c.rlike(r"^\s"), "space").when(c.rlike(r"^[\p{L}\p{N}_]"), "word").otherwise("mark")
+    found = {
+        "size": bucket(F.log2(n + 1)), "shape": shape, "digits": digits, "marks": marks, "word": F.pmod(F.xxhash64(word), F.lit(256)).cast("string"),
+        "before": side(F.substring("left", -1, 1)), "after": side(F.substring("right", 1, 1)),
+    }
+    return F.transform(F.array(*[F.concat(F.lit(f"{k}="), v) for k, v in found.items()]), lambda f: F.concat(F.col("kind"), F.lit(":"), f))
 
 
 def classify(spans: DataFrame) -> tuple[DataFrame, dict]:
@@ -163,7 +237,8 @@ def classify(spans: DataFrame) -> tuple[DataFrame, dict]:
         table[r["kind"]].append((tuple(r[c] for c in columns), r["count"]))
     if not table:
         return voted.withColumn("probability", F.lit(0.0)), {}
-    learned = {kind: reliabilities(sorted(rows, key=str)) for kind, rows in sorted(table.items())}
+    lean = {k.name: k.lean for k in KINDS}
+    learned = {kind: reliabilities(sorted(rows, key=str), lean=lean[kind]) for kind, rows in sorted(table.items())}
     posts = [(":".join([kind, *["?" if x is None else str(x) for x in v]]), float(p)) for kind, (_, _, post) in learned.items() for v, p in post.items()]
     posterior = F.create_map(*[F.lit(x) for pair in posts for x in pair])
     key = F.concat_ws(":", "kind", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in columns])
