@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -58,3 +59,25 @@ def test_mix_repeats_rows_in_order(spark):
     order = [r["doc_id"] for r in mixing.mix(unique).collect()]
     firsts = [times[i] for i in dict.fromkeys(order)]
     assert firsts == sorted(firsts)
+
+
+def test_one_document_corrects_a_source_with_long_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * (rng.choice([4000, 9000]) if i % 40 == 0 else rng.randint(1, 60)), f"s{i % 4}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(docs).collect()
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        taken, target = sum(r["taken"] for r in own), own[0]["target"]
+        assert abs(taken - target) <= 0.01 * target, (s, taken, target)
+        assert all(r["copies"] <= mixing.CAP for r in own)
+    mixed = mixing.mix(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in mixed} == {r["id"]: r["copies"] for r in got if r["copies"]}
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "a", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.plan(docs)
+    assert mixing.plan(docs.filter("doc_id < 3")).count() == 3

@@ -5,8 +5,12 @@ schedule's integral is the source's cumulative demand. A document's place in its
 it, in an order by hash; the inverse of the demand at that place is the time at which it is trained on. A source whose
 target exceeds its size runs through its documents again, up to the cap. Documents are finally range-sorted by time.
 
+Whole documents seldom add up to a target. So each source corrects what it takes by one document, taken once more or
+once less: the one whose size is nearest to what is missing or too much, if that helps.
+
 Running sums go over (source, block) with a bounded number of documents each, then over block totals, so a source with
-a third of all rows is no hot spot. Sources are configuration: one row for each is brought to the driver.
+a third of all rows is no hot spot. Sources are configuration: one row for each is brought to the driver, and more than
+``MOST_SOURCES`` are refused.
 
 Defined cases: a null text has size 0 and is never taken, nor is an empty one. A null source is a source of its own,
 the last. Null and repeated ids are rows like others; ties of the hash are broken by id, then by row. An empty table
@@ -25,6 +29,8 @@ from .shared import settle, text_or_empty
 
 BLOCK_ROWS = 8192
 CAP = 3
+#: What bounds the tables of one row for each source that are sent to all tasks.
+MOST_SOURCES = 100_000
 #: Schedules dealt to sources in turn, as (time, relative weight) knots. Rising, even, falling.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
 
@@ -65,7 +71,11 @@ def time_of(demand: Column, pieces: Column) -> Column:
     return piece["time"] + F.when(F.abs(k) < 1e-12, need / w).otherwise(2 * need / (w + F.sqrt(F.greatest(w * w + 2 * k * need, F.lit(0.0)))))
 
 
-def plan(docs: DataFrame, weight_of: Callable[[int, str | None], float] | None = None, schedule_of: Callable[[int, str | None], Sequence[tuple[float, float]]] | None = None, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(
+    docs: DataFrame, weight_of: Callable[[int, str | None], float] | None = None,
+    schedule_of: Callable[[int, str | None], Sequence[tuple[float, float]]] | None = None, cap: float = CAP,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """For each row, what the mix does with it: (id, source, row, size, source_size, target, copies, taken, first_time,
     pieces, place). ``weight_of`` and ``schedule_of`` get a source's number (by code point, null last) and name."""
     weight_of = weight_of or (lambda i, _: i % 3 + 1.0)
@@ -73,7 +83,9 @@ def plan(docs: DataFrame, weight_of: Callable[[int, str | None], float] | None =
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("size"))
     sized = settle(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"More than {MOST_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     target = targets([r["size"] for r in found], [weight_of(i, r["source"]) for i, r in enumerate(found)], cap)
     rows = [
@@ -90,18 +102,33 @@ def plan(docs: DataFrame, weight_of: Callable[[int, str | None], float] | None =
     inside = Window.partitionBy("sid", "block").orderBy("h", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.join(sums, ["sid", "block"]).withColumn("place", F.col("ahead") + F.sum("size").over(inside) - F.col("size") / 2)
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.ceil((F.col("target") - F.col("place")) / F.col("source_size")))).otherwise(0).cast("long")
-    out = placed.withColumn("copies", F.least(copies, F.lit(int(cap))))
-    first = F.when(F.col("copies") > 0, time_of(F.col("place") / F.col("target"), F.col("pieces")))
+    rough = settle(placed.withColumn("copies", F.least(copies, F.lit(int(cap)))), "rough")
+    out = _corrected(rough, int(cap))
+    demand = F.least(F.col("place") / F.col("target"), F.lit(1.0))
+    first = F.when(F.col("copies") > 0, time_of(demand, F.col("pieces")))
     return out.select("id", "source", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), first.alias("first_time"), "pieces", "place")
 
 
+def _corrected(rough: DataFrame, cap: int) -> DataFrame:
+    """The plan with one document of each source taken once more or once less where that brings it nearer to its target."""
+    gaps = rough.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    near = rough.join(F.broadcast(gaps), "sid")
+    step = F.signum("gap")
+    left = F.abs(F.col("gap") - step * F.col("size"))
+    may = (F.col("size") > 0) & (left < F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+    best = near.filter(may).groupBy("sid").agg(F.min(F.struct(left.alias("left"), "id", "row", step.cast("long").alias("step"))).alias("best"))
+    best = best.select(F.col("best.row").alias("row"), F.col("best.step").alias("step"))  # a row for each source at most
+    return rough.join(F.broadcast(best), "row", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents: all columns of ``docs``, each row as often as it is taken, range-sorted by training time.
 
     Rows that repeat an id take the copies planned for that id one each, so the mix's totals stay the same.
     """
     planned = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), lambda j: time_of((F.col("place") + j * F.col("source_size")) / F.col("target"), F.col("pieces")))
+    demand = lambda j: F.least((F.col("place") + j * F.col("source_size")) / F.col("target"), F.lit(1.0))
+    copies = F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), lambda j: time_of(demand(j), F.col("pieces")))
     turns = settle(planned.filter("copies > 0").select("id", F.col("source").alias("from"), "size", "row", F.explode(copies).alias("at")), "turns")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     same = F.col("r")[id_col].eqNullSafe(F.col("id"))
