@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import re
 import uuid
 import zlib
@@ -40,9 +39,9 @@ ARC_FIELDS = {
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _DATE = "20240101000000"
 _NO_PAGE = -(1 << 63)
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES, _WINDOW = 4 << 20, 8 << 10
 #: Records of one archive file before compression, about.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 #: Compressed files of one task, about, and the number of tasks up to which they stay so small.
 TASK_BYTES, MANY_TASKS = 4 << 20, 10_000
 
@@ -57,18 +56,20 @@ def safe_url(url: str | None) -> str:
 
 def member(data: bytes) -> bytes:
     """One gzip member."""
-    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
 def inflate(data: bytes) -> bytes:
     """The content of a file of one or many gzip members, or the data itself."""
-    out = io.BytesIO()
-    while data[:2] == b"\x1f\x8b":
+    view, at, out = memoryview(data), 0, []
+    while data[at : at + 2] == b"\x1f\x8b":
         unpacker = zlib.decompressobj(31)
-        out.write(unpacker.decompress(data))
-        data = unpacker.unused_data
-    return out.getvalue() + data.lstrip(b"\0")
+        while not unpacker.eof and at < len(view):  # in parts, as what a member leaves over is copied
+            part = view[at : at + _WINDOW]
+            out.append(unpacker.decompress(part))
+            at += len(part) - len(unpacker.unused_data)
+    return b"".join(out) + data[at:].lstrip(b"\0")
 
 
 # ARC
