@@ -391,3 +391,72 @@ def test_streaming_panel_counts_late_rows_within_the_watermark(spark, tmp_path):
     run()
     got = {str(r["ts"]): (r["price"], r["load"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["2024-01-01 00:00:00"] == (2.0, 2) and got["2024-01-01 01:00:00"] == (5.0, 1) and got["2024-01-01 03:00:00"] == (7.0, 1)
+
+
+def test_lags_over_many_buckets_and_odd_instants(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t + dt.timedelta(hours=i, milliseconds=250 * (i % 2)), float(i)) for i in range(24 * 20) if i % 5] + [(None, 7.0)]
+    wide = LagTransformer("value", [1, 24, 170, -30], "1h")(spark.createDataFrame(rows, "ts timestamp, value double").repartition(7))
+    known = {a: v for a, v in rows if a}
+    got = wide.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for lag, name in ((1, "value_h-1"), (24, "value_d-1"), (170, "value_h-170"), (-30, "value_h+30")):
+            assert r[name] == (known.get(r["ts"] - dt.timedelta(hours=lag)) if r["ts"] else None)
+    with pytest.raises(ValueError):
+        LagTransformer("value", [])
+
+
+def market_xml(points, psr=None, business="A01", step="PT60M", tag="quantity"):
+    kind = f"<MktPSRType><psrType>{psr}</psrType></MktPSRType>" if psr else ""
+    body = "".join(f"<Point><position>{i}</position><{tag}>{v}</{tag}></Point>" for i, v in points)
+    return f"<TimeSeries><businessType>{business}</businessType>{kind}<Period><timeInterval><start>2024-01-01T00:00Z</start></timeInterval><resolution>{step}</resolution>{body}</Period></TimeSeries>"
+
+
+def test_market_load_and_generation(spark):
+    def transport(query):
+        kind = query["documentType"], query["processType"]
+        series = {
+            ("A65", "A16"): market_xml([(1, 10), (2, 11)]),
+            ("A65", "A01"): market_xml([(1, 20), (3, 22)]),
+            ("A65", "A31"): market_xml([(1, 5)], business="A60") + market_xml([(1, 50)], business="A61"),
+            ("A75", "A16"): market_xml([(1, 1), (2, 2)], "B11") + market_xml([(1, 7)], "B16") + market_xml([(2, 9)], "ZZ"),
+            ("A69", "A01"): market_xml([(1, 3)], "B19"),
+        }[kind]
+        return f"<D>{series}</D>"
+
+    got = market.EntsoeSource("PL", "k", ["load", "generation"], transport=transport).fetch(spark, "2024-01-01", "2024-01-02").orderBy("ts").collect()
+    assert len(got) == 3
+    first, second, third = (r.asDict() for r in got)
+    assert (first["load_actual"], first["load_forecast"], first["load_forecast_daily_min"], first["load_forecast_daily_max"]) == (10, 20, 5, 50)
+    assert (first["generation_hydro_run-of-river_and_pondage"], first["generation_solar"], first["generation_wind_onshore_forecast"], second["generation_zz"]) == (1, 7, 3, 9)
+    assert third["load_forecast"] == 22 and third["load_actual"] is None
+    with pytest.raises(Exception, match="Unknown resolution"):
+        market.parse_points(spark.createDataFrame([(0, f"<D>{market_xml([(1, 1)], step='PT5M')}</D>")], "request int, doc string")).collect()
+    fine = market.EntsoeSource("PL", "k", ["price"], transport=lambda q: f"<D>{market_xml([(i, i) for i in range(1, 5)], step='PT15M', tag='price.amount')}</D>")
+    assert values(fine.fetch(spark, "2024-01-01", "2024-01-02"), "price") == [1, 2, 3, 4]
+
+
+def test_predictors_reports_and_cache_info(spark, tmp_path):
+    model = models.OLSModel(["load", "price_d-{horizon}", lambda h: f"temp_d+{h}"], 10)
+    assert model.expand(3) == ["load", "price_d-3", "temp_d+3"] and model.name == "OLSModel"
+    with pytest.raises(ValueError):
+        models.OLSModel(["load"], 1)
+    rows = [(m, dt.date(2024, 1, 1), dt.date(2024, 1, 2), h, 1, 0, float(h), 0.0) for m in ("b", "a") for h in (5, 3)]
+    found = report.EvaluationReport(spark.createDataFrame(rows, "model string, run_date date, target_date date, hour int, horizon int, day_in_test int, prediction double, actual double"))
+    assert [(r["model"], r["hour"]) for r in found.by_hour().collect()] == [("a", 3), ("a", 5), ("b", 3), ("b", 5)]
+    assert [r["hour"] for r in found.details(["a", "b"]).collect()] == [3, 5] and found.details(["a"]).columns[0] == "run_date"
+    assert [[r["model"] for r in t] for t in found.tables().values()] == [["a", "b"], ["a", "a", "b", "b"], ["a", "b"], ["a", "a", "b", "b"], ["a", "b"], ["a", "b"]]
+    cache = RangeCache(spark, str(tmp_path / "c"), {"source": "x"})
+    cache.write(frame(spark, "2024-01-01", range(3)), "2024-01-01 00:00:00", "2024-01-01 02:00:00")
+    cache.write(frame(spark, "2024-01-01", []), "2024-01-02 00:00:00", "2024-01-02 02:00:00")
+    info = RangeCache(spark, str(tmp_path / "c"), {"source": "x"}).info()
+    assert [r["filename"] is None for r in info["cached_ranges"]] == [False, True] and info["source_config"] == {"source": "x"}
+    assert cache.missing("2024-01-01 01:00:00", "2024-01-02 01:00:00") == [("2024-01-01 02:00:00", "2024-01-02 00:00:00")]
+
+
+@pytest.mark.parametrize("country, day, rise, fall", [("PL", "2024-06-21", 4.23, 21.02), ("GB", "2024-12-21", 8.05, 15.88), ("ES", "2024-03-20", 7.38, 19.52)])
+def test_sunrise_and_sunset_are_those_of_almanacs(spark, country, day, rise, fall):
+    row = CalendarSource(country, holidays=False, weekday=False, daylight=True).fetch(spark, f"{day} 10:00:00", f"{day} 11:00:00").first()
+    assert row["sunrise"] == pytest.approx(rise, abs=0.1) and row["sunset"] == pytest.approx(fall, abs=0.1)
+    assert row["daylight_hours"] == pytest.approx(row["sunset"] - row["sunrise"], abs=0.05)

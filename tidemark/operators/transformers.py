@@ -125,7 +125,8 @@ class ResampleTransformer(Transformer):
 class LagTransformer(Transformer):
     """The value at exactly ``ts - lag * freq``; a missing instant gives null.
 
-    Each row sends its values to the instants that look at it, so one shuffle by instant serves all lags.
+    Time is cut into buckets as long as the longest lag, so what a row looks for is in its own bucket or the next one.
+    Rows go to both, whatever the number of lags, and all lags are range frames over one sort of a bucket.
     """
 
     def __init__(self, columns: str | list[str], lags: int | list[int] = 1, freq: str = "1h"):
@@ -133,6 +134,8 @@ class LagTransformer(Transformer):
         if not self.columns:
             raise ValueError("LagTransformer needs columns")
         self.lags, self.freq, self.step = ([lags] if isinstance(lags, int) else list(lags)), freq, seconds(freq)
+        if not self.lags:
+            raise ValueError("LagTransformer needs lags")
 
     def params(self) -> dict:
         return {"columns": self.columns, "lags": self.lags, "freq": self.freq}
@@ -142,11 +145,14 @@ class LagTransformer(Transformer):
         if missing:
             raise ValueError(f"Columns not found: {missing}")
         names = [(lag, c, lag_name(c, lag, self.step)) for lag in self.lags for c in self.columns]
-        own = df.select(F.col(TS).alias("__at"), F.struct("*").alias("__row"))
-        part = F.col(TS) - F.date_trunc("second", TS)
-        values = [F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(self.columns)]
-        to = [F.struct((F.timestamp_seconds(epoch() + lag * self.step) + part).alias("__at"), F.lit(lag).alias("__lag"), *values) for lag in self.lags]
-        sent = df.select(F.explode(F.array(*to)).alias("s")).select("s.*")
-        found = [F.first(F.when(F.col("__lag") == lag, F.col(f"__v{self.columns.index(c)}")), True).alias(n) for lag, c, n in names]
-        sent = sent.groupBy("__at").agg(*found)
-        return own.join(sent, "__at", "left").select("__row.*", *[F.col(f"`{n}`") for _, _, n in names])
+        span = max(DAY, self.step * max(abs(lag) for lag in self.lags))
+        ways = [0, *([1] if max(self.lags) > 0 else []), *([-1] if min(self.lags) < 0 else [])]
+        at = F.unix_micros(F.col(TS))
+        placed = df.select("*", F.explode(F.array(*map(F.lit, ways))).alias("__way"), at.alias("__at"))
+        placed = placed.withColumn("__bucket", F.floor(F.col("__at") / (span * 1_000_000)) + F.col("__way"))
+        bucket, found = Window.partitionBy("__bucket").orderBy("__at"), []
+        for lag, c, name in names:
+            there = bucket.rangeBetween(-lag * self.step * 1_000_000, -lag * self.step * 1_000_000)
+            found.append(F.when(F.col("__at").isNotNull(), F.first(f"`{c}`", True).over(there)).alias(name))
+        out = placed.select(*[F.col(f"`{c}`") for c in df.columns], "__way", *found).filter("__way = 0")
+        return out.drop("__way")
