@@ -61,14 +61,11 @@ def starts(words: Words, k: int) -> np.ndarray:
     return np.flatnonzero(room[: max(len(words.code) - k + 1, 0)])
 
 
-def fingerprints(words: Words, at: np.ndarray, k: int) -> np.ndarray:
-    """Of the k words from each place on, 60 bits."""
-    total, weight = words.code[at].copy(), np.uint64(1)
-    with np.errstate(over="ignore"):
-        for p in range(1, k):
-            weight = weight * _STEP
-            total += words.code[at + p] * weight
-    return mix(total) >> np.uint64(4)
+def fingerprints(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where suffixes of k words or more begin, and 60 bits of their first k words."""
+    code, whole = words.windows(k)
+    at = np.flatnonzero(whole)
+    return at, code[at] >> np.uint64(4)
 
 
 def prefixes(words: Words, at: np.ndarray, k: int, heavy: dict[int, np.ndarray]) -> np.ndarray:
@@ -95,6 +92,11 @@ def _among(values: np.ndarray, some: np.ndarray | None) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
 
 
+def _groups(words: Words, at: np.ndarray, k: int, heavy: dict[int, np.ndarray], n_groups: int) -> np.ndarray:
+    """The group of each suffix; short integers sort by radix."""
+    return (prefixes(words, at, k, heavy) % np.uint64(n_groups)).astype(np.uint16 if n_groups <= 1 << 16 else np.uint32)
+
+
 def heavy_prefixes(texts: DataFrame, n_groups: int, k: int = K, depth: int = 6, share_of: int = PREFIX_SHARE) -> dict[int, np.ndarray]:
     """Prefixes of more than half a group's share of all suffixes; there are at most 2 * n_groups for each length.
 
@@ -135,15 +137,15 @@ class _Codes:
     """The distinct fingerprints of one chunk's suffixes, with their groups."""
 
     def __init__(self, texts: list, k: int, heavy: dict[int, np.ndarray], n_groups: int):
-        places, codes, keys, base = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0
+        places, codes, keys, base = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], 0
         for words in runs(texts):
-            at = starts(words, k)
+            at, code = fingerprints(words, k)
             places.append(at + base)
-            codes.append(fingerprints(words, at, k))
-            keys.append((prefixes(words, at, k, heavy) % np.uint64(n_groups)).astype(np.uint32))
+            codes.append(code)
+            keys.append(_groups(words, at, k, heavy, n_groups))
             base += len(words.code)
         self.place, self.words, code, group = np.concatenate(places), base, np.concatenate(codes), np.concatenate(keys)
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         ranked = code[order]
         first = np.ones(len(ranked), bool)
         first[1:] = ranked[1:] != ranked[:-1]
@@ -215,12 +217,12 @@ class _Suffixes:
                 found = np.array(found, np.int64)
                 new, where = np.unique(found, return_index=True)
                 where = where[new >= known]
-                keys.append((prefixes(words, at[where], k, heavy) % np.uint64(n_groups)).astype(np.uint32))
+                keys.append(_groups(words, at[where], k, heavy, n_groups))
                 numbers.append(found)
                 places.append(at + base)
             base += n
         self.ptr, none = np.concatenate(ptr), np.zeros(0, np.int64)
-        group, strings = np.concatenate([none.astype(np.uint32), *keys]), list(seen)
+        group, strings = np.concatenate([none.astype(np.uint16), *keys]), list(seen)
         order = []
         by_group = np.argsort(group, kind="stable")
         for _, mine in _cut(group[by_group], by_group):
