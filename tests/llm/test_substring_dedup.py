@@ -61,6 +61,14 @@ def test_heavy_prefixes_are_lengthened(spark):
     assert len(np.unique(sub.prefixes(w, at, 13, heavy))) >= len(np.unique(sub.prefixes(w, at, 13, {})))
 
 
+@pytest.mark.parametrize("n, parts", [(1, 1), (3, 8), (40, 40), (300, 301)])
+def test_chunks_hash_apart(spark, n, parts):
+    keys = sub._apart(spark, n, parts)
+    assert len(keys) == n and keys == sorted(set(keys))
+    met = spark.createDataFrame([(k,) for k in keys], "key int").selectExpr("pmod(hash(key), %d) AS part" % parts).distinct().count()
+    assert met >= 0.97 * n
+
+
 def test_codes_pack_and_unpack():
     codes = np.sort(np.random.default_rng(0).integers(0, 2**40, 1000, dtype=np.uint64) // np.uint64(3))
     codes[5] = codes[4]

@@ -27,7 +27,7 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -305,8 +305,24 @@ def _later(parts: pd.DataFrame, k: int) -> Iterator[tuple[int, bytes]]:
 # The jobs
 
 
+def _apart(spark: SparkSession, n: int, n_parts: int) -> list[int]:
+    """``n`` ascending numbers that Spark's hash deals to a partition of ``n_parts`` each, or nearly."""
+    tried = spark.range(n_parts * (8 + n_parts.bit_length())).select(F.col("id").cast("int").alias("key"))
+    first = tried.groupBy(F.pmod(F.hash("key"), F.lit(n_parts)).alias("part")).agg(F.min("key").alias("key"))
+    found = {r["key"] for r in first.orderBy("key").limit(n).collect()}
+    for key in range(n):
+        if len(found) < n:
+            found.add(key)
+    return sorted(found)
+
+
 def _dealt(texts: DataFrame, n_chunks: int) -> DataFrame:
-    """(chunk, no_id, id, text): chunks are ranges of ids, null ids in the last."""
+    """(chunk, no_id, id, text): chunks are ranges of ids, null ids in the last; each has a partition of its own.
+
+    The numbers of chunks ascend with the ids, and are such that no two chunks hash to one partition.
+    """
+    spark = texts.sparkSession
+    n_parts = max(n_chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = texts.schema["id"].dataType
     known = texts.filter("id is not null").select("id")
     bounds: list = []
@@ -321,9 +337,11 @@ def _dealt(texts: DataFrame, n_chunks: int) -> DataFrame:
             return F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) < F.col("id")), at + step).otherwise(at)
 
         chunk = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(F.aggregate(F.lit(steps), F.lit(0), search))
+    chunk = F.get(F.lit(_apart(spark, len(bounds) + 1, n_parts)), chunk)
     # pandas would make floats of numbers with nulls among them.
     id_ = F.coalesce("id", F.lit(0).cast(id_type)) if isinstance(id_type, NumericType) else F.col("id")
-    return texts.select(chunk.alias("chunk"), F.col("id").isNull().alias("no_id"), id_.alias("id"), "text")
+    dealt = texts.select(chunk.alias("chunk"), F.col("id").isNull().alias("no_id"), id_.alias("id"), "text")
+    return dealt.repartition(n_parts, "chunk")
 
 
 def _suspects(dealt: DataFrame, k: int, heavy: dict[int, np.ndarray], n_groups: int) -> DataFrame:
