@@ -61,12 +61,12 @@ def test_heavy_prefixes_are_lengthened(spark):
     assert len(np.unique(sub.prefixes(w, at, 13, heavy))) >= len(np.unique(sub.prefixes(w, at, 13, {})))
 
 
-@pytest.mark.parametrize("n, parts", [(1, 1), (3, 8), (40, 40), (300, 301)])
-def test_chunks_hash_apart(spark, n, parts):
-    keys = sub._apart(spark, n, parts)
+@pytest.mark.parametrize("n, kind", [(1, "int"), (3, "long"), (40, "int"), (300, "long")])
+def test_chunks_and_groups_hash_apart(spark, n, kind):
+    keys = sub._apart(spark, n, kind)
     assert len(keys) == n and keys == sorted(set(keys))
-    met = spark.createDataFrame([(k,) for k in keys], "key int").selectExpr("pmod(hash(key), %d) AS part" % parts).distinct().count()
-    assert met >= 0.97 * n
+    parts = spark.createDataFrame([(k,) for k in keys], f"key {kind}").selectExpr(f"pmod(hash(key), {sub._parts_of(spark, n)}) AS part")
+    assert parts.distinct().count() >= 0.97 * n
 
 
 def test_codes_pack_and_unpack():

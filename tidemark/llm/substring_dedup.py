@@ -305,9 +305,15 @@ def _later(parts: pd.DataFrame, k: int) -> Iterator[tuple[int, bytes]]:
 # The jobs
 
 
-def _apart(spark: SparkSession, n: int, n_parts: int) -> list[int]:
-    """``n`` ascending numbers that Spark's hash deals to a partition of ``n_parts`` each, or nearly."""
-    tried = spark.range(n_parts * (8 + n_parts.bit_length())).select(F.col("id").cast("int").alias("key"))
+def _parts_of(spark: SparkSession, n: int) -> int:
+    """Partitions for ``n`` keys, each to have its own."""
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _apart(spark: SparkSession, n: int, kind: str = "int") -> list[int]:
+    """``n`` ascending numbers that Spark's hash deals to a partition each, or nearly."""
+    n_parts = _parts_of(spark, n)
+    tried = spark.range(n_parts * (8 + n_parts.bit_length())).select(F.col("id").cast(kind).alias("key"))
     first = tried.groupBy(F.pmod(F.hash("key"), F.lit(n_parts)).alias("part")).agg(F.min("key").alias("key"))
     found = {r["key"] for r in first.orderBy("key").limit(n).collect()}
     for key in range(n):
@@ -321,9 +327,7 @@ def _dealt(texts: DataFrame, n_chunks: int) -> DataFrame:
 
     The numbers of chunks ascend with the ids, and are such that no two chunks hash to one partition.
     """
-    spark = texts.sparkSession
-    n_parts = max(n_chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    id_type = texts.schema["id"].dataType
+    spark, id_type = texts.sparkSession, texts.schema["id"].dataType
     known = texts.filter("id is not null").select("id")
     bounds: list = []
     if n_chunks > 1:  # the largest id of each range but the last
@@ -337,36 +341,41 @@ def _dealt(texts: DataFrame, n_chunks: int) -> DataFrame:
             return F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) < F.col("id")), at + step).otherwise(at)
 
         chunk = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(F.aggregate(F.lit(steps), F.lit(0), search))
-    chunk = F.get(F.lit(_apart(spark, len(bounds) + 1, n_parts)), chunk)
+    chunk = F.get(F.lit(_apart(spark, len(bounds) + 1)), chunk)
     # pandas would make floats of numbers with nulls among them.
     id_ = F.coalesce("id", F.lit(0).cast(id_type)) if isinstance(id_type, NumericType) else F.col("id")
     dealt = texts.select(chunk.alias("chunk"), F.col("id").isNull().alias("no_id"), id_.alias("id"), "text")
-    return dealt.repartition(n_parts, "chunk")
+    return dealt.repartition(_parts_of(spark, len(bounds) + 1), "chunk")
+
+
+def _by_group(sent: DataFrame, n_groups: int):
+    """Messages by group; groups are named so that no two hash to one partition."""
+    return sent.repartition(_parts_of(sent.sparkSession, n_groups), "group").groupBy("group")
 
 
-def _suspects(dealt: DataFrame, k: int, heavy: dict[int, np.ndarray], n_groups: int) -> DataFrame:
+def _suspects(dealt: DataFrame, k: int, heavy: dict[int, np.ndarray], names: list[int]) -> DataFrame:
     """(chunk, group, bits): which of a chunk's fingerprints occur again in their group."""
     drop = np.uint64(60 - CODE_BITS)
 
     def send(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        own = _Codes(part["text"].tolist(), k, heavy, n_groups)
-        out = [(group, int(key[0]), *_pack(own.code[places] >> drop)) for group, places in own.parts()]
+        own = _Codes(part["text"].tolist(), k, heavy, len(names))
+        out = [(names[group], int(key[0]), *_pack(own.code[places] >> drop)) for group, places in own.parts()]
         return pd.DataFrame(out, columns=["group", "chunk", "n", "width", "data"])
 
     def match(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(chunk, int(key[0]), bits) for chunk, bits in _again(parts)], columns=["chunk", "group", "bits"])
 
     sent = dealt.groupBy("chunk").applyInPandas(send, "group long, chunk int, n int, width int, data binary")
-    return sent.groupBy("group").applyInPandas(match, "chunk int, group long, bits binary")
+    return _by_group(sent, len(names)).applyInPandas(match, "chunk int, group long, bits binary")
 
 
-def _chosen(texts: list, told: pd.DataFrame, k: int, heavy: dict[int, np.ndarray], n_groups: int) -> np.ndarray:
+def _chosen(texts: list, told: pd.DataFrame, k: int, heavy: dict[int, np.ndarray], names: list[int]) -> np.ndarray:
     """For each word of a chunk, whether the suffix from it on goes to the trees."""
-    own = _Codes(texts, k, heavy, n_groups)
+    own = _Codes(texts, k, heavy, len(names))
     again, bits = np.bincount(own.node, minlength=len(own.code)) > 1, dict(zip(told["group"], told["bits"]))
     for group, places in own.parts():
-        if group in bits:
-            again[places] |= np.unpackbits(np.frombuffer(bits[group], np.uint8), count=len(places)).astype(bool)
+        if names[group] in bits:
+            again[places] |= np.unpackbits(np.frombuffer(bits[names[group]], np.uint8), count=len(places)).astype(bool)
     chosen = np.zeros(own.words, bool)
     chosen[own.place[again[own.node]]] = True
     return chosen
@@ -383,14 +392,14 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
     rows, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     n_chunks, n_groups = sizes(chars)
     heavy = heavy_prefixes(texts.select("text"), n_groups, k)
-    dealt = _dealt(texts, min(n_chunks, max(rows, 1)))
+    dealt, names = _dealt(texts, min(n_chunks, max(rows, 1))), _apart(docs.sparkSession, n_groups, "long")
 
     def send(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """The chunk's suffixes for the trees by group, and for itself, as a group below 0, which they are."""
         texts, chunk = part["text"].tolist(), int(key[0])
-        chosen = _chosen(texts, told, k, heavy, n_groups)
+        chosen = _chosen(texts, told, k, heavy, names)
         own, packer = _Suffixes(texts, chosen, k, heavy, n_groups, k), zstandard.ZstdCompressor(level=3)
-        out = [(group, chunk, packer.compress(b"\n".join(own.strings[places[0] : places[-1] + 1]))) for group, places in own.parts()]
+        out = [(names[group], chunk, packer.compress(b"\n".join(own.strings[places[0] : places[-1] + 1]))) for group, places in own.parts()]
         return pd.DataFrame([*out, (-1 - chunk, chunk, packer.compress(np.packbits(chosen).tobytes()))], columns=["group", "chunk", "data"])
 
     def grow(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
@@ -405,8 +414,8 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
         own = _Suffixes(texts, chosen, k, heavy, n_groups, k)
         later = np.zeros(len(own.strings), bool)
         for group, places in own.parts():
-            if group in bits:
-                later[places] = np.unpackbits(np.frombuffer(bits[group], np.uint8), count=len(places)).astype(bool)
+            if names[group] in bits:
+                later[places] = np.unpackbits(np.frombuffer(bits[names[group]], np.uint8), count=len(places)).astype(bool)
         covered = _covered(own, later, _ranks(part["id"].to_numpy(), part["no_id"].to_numpy()), k)
         out = []
         for i, text in enumerate(texts):
@@ -416,12 +425,12 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
             turn = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
             spans = [{"start": int(a), "end": int(b)} for a, b in zip(turn[0::2], turn[1::2])]
             out.append((len(words), int(mine.sum()), hashlib.sha256(kept).hexdigest(), spans, *([kept.decode("utf-8", "surrogatepass")] if with_text else [])))
-        names = ["n_words", "n_removed", "kept_sha256", "spans", *(["text"] if with_text else [])]
-        return pd.concat([part[["no_id", "id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+        columns = ["n_words", "n_removed", "kept_sha256", "spans", *(["text"] if with_text else [])]
+        return pd.concat([part[["no_id", "id"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
 
-    suspects = _suspects(dealt, k, heavy, n_groups)
+    suspects = _suspects(dealt, k, heavy, names)
     sent = dealt.groupBy("chunk").cogroup(suspects.groupBy("chunk")).applyInPandas(send, "group long, chunk int, data binary")
-    told = sent.groupBy("group").applyInPandas(grow, "chunk int, group long, bits binary")
+    told = _by_group(sent, n_groups).applyInPandas(grow, "chunk int, group long, bits binary")
     schema = f"no_id boolean, id {id_type}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", text string" if with_text else "")
     done = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(cut, schema)
     return done.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), *[c for c in done.columns if c not in ("no_id", "id")])
@@ -456,16 +465,16 @@ def maximal_repeats(docs: DataFrame, k: int = K, depth: int = 64, text_col: str
     rows, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     n_chunks, n_groups = sizes(chars)
     heavy = heavy_prefixes(texts.select("text"), n_groups, k)
-    dealt = _dealt(texts, min(n_chunks, max(rows, 1)))
+    dealt, names = _dealt(texts, min(n_chunks, max(rows, 1))), _apart(docs.sparkSession, n_groups, "long")
 
     def send(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         texts, chunk = part["text"].tolist(), int(key[0])
-        own = _Suffixes(texts, _chosen(texts, told, k, heavy, n_groups), k, heavy, n_groups, depth)
+        own = _Suffixes(texts, _chosen(texts, told, k, heavy, names), k, heavy, n_groups, depth)
         before = _words_before(texts, own)
         out = []
         for group, places in own.parts():
             lines = [b"%s\t%d\t%s" % (own.strings[i], *before[i]) for i in places.tolist()]
-            out.append((group, chunk, zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))))
+            out.append((names[group], chunk, zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))))
         return pd.DataFrame(out, columns=["group", "chunk", "data"])
 
     def grow(parts: pd.DataFrame) -> pd.DataFrame:
@@ -474,9 +483,9 @@ def maximal_repeats(docs: DataFrame, k: int = K, depth: int = 64, text_col: str
         found = [(w.decode("utf-8", "surrogatepass"), n, times, n == depth) for w, n, times in repeats(lines, k)]
         return pd.DataFrame(found, columns=["words", "n_words", "occurrences", "is_cut"])
 
-    suspects = _suspects(dealt, k, heavy, n_groups)
+    suspects = _suspects(dealt, k, heavy, names)
     sent = dealt.groupBy("chunk").cogroup(suspects.groupBy("chunk")).applyInPandas(send, "group long, chunk int, data binary")
-    return sent.groupBy("group").applyInPandas(grow, "words string, n_words int, occurrences long, is_cut boolean")
+    return _by_group(sent, n_groups).applyInPandas(grow, "words string, n_words int, occurrences long, is_cut boolean")
 
 
 #: Stands for different words before a suffix, or none; no word has a space.
