@@ -42,7 +42,7 @@ from .words import Lookup, Words, runs
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 FOLDS, FOLD_RATE = 2, 0.2
 GROUPS, LEAVES, TABLE_WORDS, CONTEXT, DIM = 128, 4.0, 1 << 18, 4, 16
-BATCH, NOISE, LEAF_NOISE = 2048, 64, 2
+BATCH, NOISE, LEAF_NOISE = 2048, 64, 1
 BLOCK = 16384
 ENDINGS = 4096
 
@@ -124,7 +124,10 @@ class LogBilinear:
         return out
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return np.einsum("jnd,jd->nd", self.parts["q"][contexts.T], self.parts["c"])
+        out = np.take(self.parts["q"] * self.parts["c"][0], contexts[:, 0], axis=0)
+        for j in range(1, self.context):
+            out += np.take(self.parts["q"] * self.parts["c"][j], contexts[:, j], axis=0)
+        return out
 
     def train(self, leaf: np.ndarray, ptr: np.ndarray, squares: dict, rng: np.random.Generator, rate: float = FOLD_RATE) -> None:
         """One pass of noise-contrastive estimation with AdaGrad over these tokens, in shuffled minibatches."""
@@ -140,17 +143,17 @@ class LogBilinear:
 
         for begin in range(0, len(order), BATCH):
             some = order[begin : begin + BATCH]
-            ctx, target = contexts[some].T, leaf[some]
-            group, before = self.group[target], p["q"][ctx]
+            ctx, target = np.take(contexts, some, axis=0).T, leaf[some]
+            group, before = self.group[target], np.take(p["q"], ctx, axis=0)
             h = np.einsum("jnd,jd->nd", before, p["c"])
             false = self.group[self._leaf_at(rng.random(NOISE, np.float32) * self.upto[-1])]
-            r_true, r_false = p["r"][group], p["r"][false]
+            r_true, r_false = np.take(p["r"], group, axis=0), p["r"][false]
             up = 1 - _sigmoid(np.einsum("nd,nd->n", h, r_true) + p["b"][group] - self.noise[group] - shift)
             down = -_sigmoid(h @ r_false.T + (p["b"][false] - self.noise[false] - shift))
             to_h = up[:, None] * r_true + down @ r_false
             lo, hi = self.upto[self.ptr[group]], self.upto[self.ptr[group + 1]]
             other = self._leaf_at(lo[:, None] + rng.random((len(some), LEAF_NOISE), np.float32) * (hi - lo)[:, None], self.ptr[group + 1][:, None] - 1)
-            s_true, s_false = p["s"][target], p["s"][other]
+            s_true, s_false = np.take(p["s"], target, axis=0), np.take(p["s"], other, axis=0)
             leaf_up = 1 - _sigmoid(np.einsum("nd,nd->n", h, s_true) + p["a"][target] - self.leaf_noise[target] - leaf_shift)
             leaf_down = -_sigmoid(np.einsum("nd,nkd->nk", h, s_false) + p["a"][other] - self.leaf_noise[other] - leaf_shift)
             to_h += leaf_up[:, None] * s_true + np.einsum("nk,nkd->nd", leaf_down, s_false)
@@ -180,24 +183,26 @@ class LogBilinear:
         p, group = self.parts, self.group[leaf]
         one = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
         of_groups, of_leaves = (np.concatenate([p[k], p[b][:, None]], 1) for k, b in (("r", "b"), ("s", "a")))
-        out = np.einsum("nd,nd->n", one, of_groups[group] + of_leaves[leaf]).astype(float)
-        out -= _log_sums(one, of_groups)
+        out = np.einsum("nd,nd->n", one, np.take(of_groups, group, axis=0) + np.take(of_leaves, leaf, axis=0)).astype(float)
+        most = max(np.einsum("nd,nd->n", y, y).max() for y in (of_groups, of_leaves))
+        is_safe = np.einsum("nd,nd->n", one, one).max() * most <= 80**2  # then no score exceeds 80
+        out -= _log_sums(one, of_groups, is_safe)
         order = np.argsort(_narrow(group, self.groups), kind="stable")
         cut = np.searchsorted(group[order], np.arange(self.groups + 1))
         for g in np.flatnonzero(np.diff(cut)):
             mine = order[cut[g] : cut[g + 1]]
-            out[mine] -= _log_sums(one[mine], of_leaves[self.ptr[g] : self.ptr[g + 1]])
+            out[mine] -= _log_sums(np.take(one, mine, axis=0), of_leaves[self.ptr[g] : self.ptr[g + 1]], is_safe)
         return out
 
 
-def _log_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _log_sums(x: np.ndarray, y: np.ndarray, is_safe: bool) -> np.ndarray:
     """Log of the sum of exp(x @ y.T) over each row."""
-    scores, shift = x @ y.T, None
-    if np.einsum("nd,nd->n", x, x).max() * np.einsum("nd,nd->n", y, y).max() > 80**2:  # else no score exceeds 80
-        shift = scores.max(1)
-        scores -= shift[:, None]
-    found = np.log(np.exp(scores, out=scores) @ np.ones(len(y), np.float32))
-    return found if shift is None else found + shift
+    scores = x @ y.T
+    if is_safe:
+        return np.log(np.exp(scores, out=scores) @ np.ones(len(y), np.float32))
+    shift = scores.max(1)
+    scores -= shift[:, None]
+    return np.log(np.exp(scores, out=scores) @ np.ones(len(y), np.float32)) + shift
 
 
 def _narrow(index: np.ndarray, size: int) -> np.ndarray:
@@ -219,7 +224,7 @@ class _Sums:
         self.which = ranked[self.first]
 
     def of(self, rows: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(rows[self.order], self.first, axis=0)
+        return np.add.reduceat(np.take(rows, self.order, axis=0), self.first, axis=0)
 
 
 @dataclass
@@ -414,7 +419,7 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
     some = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     schema = "uid long, id string, n_tokens long, known long, base double, logs double, codes array<long>, times array<int>, more array<float>"
     scored = settle(some.mapInPandas(run, schema), "scored")
-    pairs = scored.select("uid", F.explode(F.arrays_zip("codes", "times", "more")).alias("p")).select("uid", F.col("p.codes").alias("code"), F.col("p.times").alias("times"), F.col("p.more").alias("more"))
+    pairs = scored.select("uid", F.explode(F.arrays_zip("codes", "times", "more")).alias("p")).select("uid", F.col("p.codes").alias("code"), "p.times", "p.more")
     met = pairs.join(fitted.counts.select("code", "n"), "code", "left").select("uid", "times", "more", F.coalesce("n", F.lit(0)).alias("n"))
     rest = met.groupBy("uid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_more"),
