@@ -94,7 +94,7 @@ def test_sources(spark, tmp_path):
         calls.append(query)
         return json.dumps({"error": True, "reason": "Minutely limit"}) if len(calls) == 1 else body
 
-    naps = []
+    naps: list = []
     source = weather.OpenMeteoSource(52, 21, 1, columns=["t"], transport=transport, clock=lambda: dt.datetime(2024, 2, 1), sleep=naps.append)
     assert values(source.fetch(spark, "2024-01-01", "2024-01-02"), "t_d+1") == [24.0, 25.0] and naps == [60]
     assert len(source.chunks(dt.date(2024, 1, 1), dt.date(2024, 12, 31))) == 5

@@ -98,18 +98,24 @@ class ResampleTransformer(Transformer):
         joined = grid.join(placed, "__s", "left")
         fill = [c for c in numeric(df) if self.columns is None or c in self.columns]
         out = self._fill(joined, fill) if fill else joined
-        return out.select(F.timestamp_seconds("__s").alias(TS, metadata=df.schema[TS].metadata), *[half_even(F.col(f"`{c}`").cast("double")).alias(c) if c in numeric(df) else F.col(f"`{c}`") for c in df.columns if c != TS])
+        ts = F.timestamp_seconds("__s").alias(TS, metadata=df.schema[TS].metadata)
+        rounded = lambda c: half_even(F.col(f"`{c}`").cast("double")).alias(c)
+        return out.select(ts, *[rounded(c) if c in numeric(df) else F.col(f"`{c}`") for c in df.columns if c != TS])
 
     def _fill(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         rows = rows.withColumn("__d", F.floor(F.col("__s") / DAY))
-        point = {c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col("__s").alias("t"), F.col(f"`{c}`").cast("double").alias("v"))) for c in columns}
-        days = rows.groupBy("__d").agg(*[F.max(p).alias(f"__p{i}") for i, p in enumerate(point.values())], *[F.min(p).alias(f"__n{i}") for i, p in enumerate(point.values())])
+        value_of = lambda c: F.struct(F.col("__s").alias("t"), F.col(f"`{c}`").cast("double").alias("v"))
+        points = [(i, F.when(F.col(f"`{c}`").isNotNull(), value_of(c))) for i, c in enumerate(columns)]
+        days = rows.groupBy("__d").agg(*[F.max(p).alias(f"__p{i}") for i, p in points], *[F.min(p).alias(f"__n{i}") for i, p in points])
         ahead = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
         after = Window.orderBy("__d").rowsBetween(1, Window.unboundedFollowing)
-        days = days.select("__d", *[F.last(f"__p{i}", True).over(ahead).alias(f"__p{i}") for i in range(len(columns))], *[F.first(f"__n{i}", True).over(after).alias(f"__n{i}") for i in range(len(columns))])
+        last = [F.last(f"__p{i}", True).over(ahead).alias(f"__p{i}") for i, _ in points]
+        days = days.select("__d", *last, *[F.first(f"__n{i}", True).over(after).alias(f"__n{i}") for i, _ in points])
         back = Window.partitionBy("__d").orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)
         on = Window.partitionBy("__d").orderBy("__s").rowsBetween(0, Window.unboundedFollowing)
-        near = rows.join(days, "__d").select("*", *[F.coalesce(F.last(p, True).over(back), F.col(f"__p{i}")).alias(f"__b{i}") for i, p in enumerate(point.values())], *[F.coalesce(F.first(p, True).over(on), F.col(f"__n{i}")).alias(f"__a{i}") for i, p in enumerate(point.values())])
+        behind = [F.coalesce(F.last(p, True).over(back), F.col(f"__p{i}")).alias(f"__b{i}") for i, p in points]
+        before = [F.coalesce(F.first(p, True).over(on), F.col(f"__n{i}")).alias(f"__a{i}") for i, p in points]
+        near = rows.join(days, "__d").select("*", *behind, *before)
         for i, c in enumerate(columns):
             b, a = F.col(f"__b{i}"), F.col(f"__a{i}")
             if self.method == "ffill":

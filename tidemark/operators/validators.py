@@ -105,7 +105,12 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for i, c in enumerate(names):
         x = F.col(f"`{c}`").cast("double")
         q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("null_count"), (100.0 * F.count_if(x.isNull()) / F.count(F.lit(1))).alias("null_pct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75")).alias(f"s{i}"))
+        nulls = F.count_if(x.isNull())
+        stats = {
+            "column": F.lit(c), "count": F.count(x), "null_count": nulls, "null_pct": 100.0 * nulls / F.count(F.lit(1)), "min": F.min(x), "max": F.max(x),
+            "mean": F.avg(x), "std": F.stddev_samp(x), "q25": q[0], "q50": q[1], "q75": q[2],
+        }
+        aggs.append(F.struct(*[v.alias(k) for k, v in stats.items()]).alias(f"s{i}"))
     return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(names))])).alias("s")).select("s.*")
 
 

@@ -17,7 +17,7 @@ from ..operators import align, models, report, validators
 from ..operators.transformers import LagTransformer, ResampleTransformer, TimezoneTransformer, local_time
 from ..session import require_utc
 from ..sources import market, weather
-from ..sources.calendar import CalendarSource
+from ..sources.calendar import COUNTRIES, CalendarSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -196,17 +196,30 @@ def holiday_broadcast_join(spark, d):
     return _calendar(spark, d, holidays="binary")
 
 
-@query()
+_LAT, _LON = COUNTRIES["PL"][1:]
+
+
+@query(f"""WITH {PANEL}, l AS (SELECT ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Warsaw' AS w FROM panel),
+m AS (SELECT ts, (epoch(w) - epoch(ts)) / 3600.0 AS shift, radians((357.5291 + 0.98560028 * (date_diff('day', DATE '2000-01-01', CAST(w AS DATE)) - {_LON} / 360.0)) % 360) AS mean FROM l),
+a AS (SELECT *, radians((degrees(mean) + 1.9148 * sin(mean) + 0.02 * sin(2 * mean) + 0.0003 * sin(3 * mean) + 180 + 102.9372) % 360) AS along FROM m),
+t AS (SELECT *, 12 - {_LON} / 15.0 + 24 * (0.0053 * sin(mean) - 0.0069 * sin(2 * along)) AS noon, asin(sin(along) * sin(radians(23.44))) AS tilt FROM a),
+h AS (SELECT *, degrees(acos((sin(radians(-0.833)) - sin(radians({_LAT})) * sin(tilt)) / (cos(radians({_LAT})) * cos(tilt)))) / 15 AS half FROM t)
+SELECT {T.format('ts')} AS ts, {r4('floor((noon - half + shift) * 60) / 60')} AS sunrise, {r4('floor((noon + half + shift) * 60) / 60')} AS sunset, {r4('2 * half')} AS daylight_hours FROM h""")
 def calendar_daylight(spark, d):
     return _calendar(spark, d, daylight=True)
 
 
-@query(f"WITH {MINUTES}, j AS (SELECT p.price, p.load, l.price AS lagged FROM panel p LEFT JOIN panel l ON l.ts = p.ts - INTERVAL 1 HOUR) SELECT 'price' AS \"column\", count(*) - count(price) AS null_count FROM j UNION ALL SELECT 'load', count(*) - count(load) FROM j UNION ALL SELECT 'price_h-1', count(*) - count(lagged) FROM j")
+@query(f"""WITH {MINUTES},
+j AS (SELECT p.price, p.load, l.price AS lagged FROM panel p LEFT JOIN panel l ON l.ts = p.ts - INTERVAL 1 HOUR)
+SELECT 'price' AS "column", count(*) - count(price) AS null_count FROM j UNION ALL SELECT 'load', count(*) - count(load) FROM j
+  UNION ALL SELECT 'price_h-1', count(*) - count(lagged) FROM j""")
 def null_check_all(spark, d):
     return validators.null_counts(LagTransformer("price", 1)(_minutes(spark, d)))
 
 
-@query(f"WITH {MINUTES}, g AS (SELECT lag(ts) OVER (ORDER BY ts) AS a, ts AS b FROM panel) SELECT {T.format('a')} AS start, {T.format('b')} AS \"end\", CAST(epoch(b) - epoch(a) AS BIGINT) AS duration FROM g WHERE epoch(b) - epoch(a) > 60")
+@query(f"""WITH {MINUTES},
+g AS (SELECT lag(ts) OVER (ORDER BY ts) AS a, ts AS b FROM panel)
+SELECT {T.format('a')} AS start, {T.format('b')} AS "end", CAST(epoch(b) - epoch(a) AS BIGINT) AS duration FROM g WHERE epoch(b) - epoch(a) > 60""")
 def continuity_gaps_all(spark, d):
     return text(validators.gaps(_minutes(spark, d), "1min"))
 
@@ -221,7 +234,8 @@ def eda_stats(spark, d):
     return text(validators.describe(hourly(spark, d)))
 
 
-@query(f"SELECT {T.format('ts')} AS ts, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM (SELECT date_trunc('hour', ts) AS ts, event_id, event_type FROM events) GROUP BY ts")
+@query(f"""SELECT {T.format('ts')} AS ts, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS event_type
+  FROM (SELECT date_trunc('hour', ts) AS ts, event_id, event_type FROM events) GROUP BY ts""")
 def dedup_keep_first(spark, d):
     rows = table(spark, d, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), "event_type", "event_id", F.col("event_id").alias("o"))
     return text(align.keep_first(rows, "o").drop("o"))
@@ -335,7 +349,8 @@ def matrix_hour_horizon(spark, d):
     return text(_mae(spark, d).matrix("hour", "horizon", "MAE", (1, 2, 3)))
 
 
-@query(f"WITH {NAIVE} SELECT strftime(run_date, '%Y-%m-%d') AS run_date, strftime(target_date, '%Y-%m-%d') AS target_date, hour, horizon, day_in_test, CAST(actual AS VARCHAR) AS actual, CAST(prediction AS VARCHAR) AS prediction_naive, CAST(prediction * 2 AS VARCHAR) AS prediction_double FROM naive")
+@query(f"""WITH {NAIVE} SELECT strftime(run_date, '%Y-%m-%d') AS run_date, strftime(target_date, '%Y-%m-%d') AS target_date, hour, horizon, day_in_test,
+  CAST(actual AS VARCHAR) AS actual, CAST(prediction AS VARCHAR) AS prediction_naive, CAST(prediction * 2 AS VARCHAR) AS prediction_double FROM naive""")
 def details_wide(spark, d):
     rows = naive(spark, d)
     both = rows.unionByName(rows.withColumn("model", F.lit("double")).withColumn("prediction", (F.col("prediction") * 2).cast("decimal(18,2)")))
@@ -361,7 +376,7 @@ fits AS (SELECT t.ts, any_value(t.x) AS x, any_value(t.y) AS actual, regr_interc
 WHERE CAST(t.ts AS DATE) BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}' GROUP BY t.ts)"""
 
 
-@query(f"WITH {BACKTEST} SELECT strftime(ts, '%Y-%m-%d') AS run_date, CAST(hour(ts) AS INT) AS hour, round(b0 + b1 * x, 2) AS prediction, round(actual, 2) AS actual FROM fits")
+@query(f"""WITH {BACKTEST} SELECT strftime(ts, '%Y-%m-%d') AS run_date, CAST(hour(ts) AS INT) AS hour, round(b0 + b1 * x, 2) AS prediction, round(actual, 2) AS actual FROM fits""")
 def rolling_ols_univariate(spark, d):
     return _backtest(spark, d).select(F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "hour", F.round("prediction", 2).alias("prediction"), F.round("actual", 2).alias("actual"))
 

@@ -89,7 +89,12 @@ class CalendarSource(DataSource):
                 cols.append(F.col("__holiday").alias(f"{p}holiday_name"))
             if self.holidays == "onehot":
                 cols += [F.coalesce(F.col("__holiday") == n, F.lit(False)).cast("int").alias(f"{p}holiday_{n}") for n in sorted(set(table.values()))]
-        for mode, number, stem, names, base in ((self.weekday, F.weekday(local), "weekday", DAYS, 0), (self.hour, F.hour(local), "hour", tuple(map(str, range(24))), 0), (self.month, F.month(local), "month", MONTHS, 1)):
+        fields = (
+            (self.weekday, F.weekday(local), "weekday", DAYS, 0),
+            (self.hour, F.hour(local), "hour", tuple(map(str, range(24))), 0),
+            (self.month, F.month(local), "month", MONTHS, 1),
+        )
+        for mode, number, stem, names, base in fields:
             if mode == "number":
                 cols.append(number.alias(f"{p}{stem}"))
             elif mode == "name":

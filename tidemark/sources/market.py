@@ -16,9 +16,24 @@ from .http import get
 
 #: Production types by code.
 PSR = {
-    "B01": "Biomass", "B02": "Fossil Brown coal/Lignite", "B04": "Fossil Gas", "B05": "Fossil Hard coal", "B06": "Fossil Oil", "B09": "Geothermal", "B10": "Hydro Pumped Storage", "B11": "Hydro Run-of-river and pondage",
-    "B12": "Hydro Water Reservoir", "B13": "Marine", "B14": "Nuclear", "B15": "Other renewable", "B16": "Solar", "B17": "Waste", "B18": "Wind Offshore", "B19": "Wind Onshore", "B20": "Other",
-}
+    "B01": "Biomass",
+    "B02": "Fossil Brown coal/Lignite",
+    "B04": "Fossil Gas",
+    "B05": "Fossil Hard coal",
+    "B06": "Fossil Oil",
+    "B09": "Geothermal",
+    "B10": "Hydro Pumped Storage",
+    "B11": "Hydro Run-of-river and pondage",
+    "B12": "Hydro Water Reservoir",
+    "B13": "Marine",
+    "B14": "Nuclear",
+    "B15": "Other renewable",
+    "B16": "Solar",
+    "B17": "Waste",
+    "B18": "Wind Offshore",
+    "B19": "Wind Onshore",
+    "B20": "Other",
+}
 #: Areas by country or zone code.
 AREAS = {
     "AL": "10YAL-KESH-----5",
@@ -142,7 +157,9 @@ def http_transport(query: dict) -> str | None:
 
 def parse_points(docs: DataFrame, value: str = "quantity") -> DataFrame:
     """Rows of XML ``doc``: (ts, value, resolution, psr, business) of every point; unknown resolutions raise."""
-    fields = "TimeSeries array<struct<businessType:string,MktPSRType:struct<psrType:string>,Period:array<struct<timeInterval:struct<start:string,end:string>,resolution:string,Point:array<struct<position:int,quantity:string,`price.amount`:string>>>>>>"
+    point = "struct<position:int,quantity:string,`price.amount`:string>"
+    period = f"struct<timeInterval:struct<start:string,end:string>,resolution:string,Point:array<{point}>>"
+    fields = f"TimeSeries array<struct<businessType:string,MktPSRType:struct<psrType:string>,Period:array<{period}>>>"
     series = docs.select("*", F.from_xml("doc", fields).alias("x")).select(*docs.columns, F.explode("x.TimeSeries").alias("s"))
     periods = series.select(*docs.columns, "s.businessType", F.col("s.MktPSRType.psrType").alias("psr"), F.explode("s.Period").alias("p"))
     points = periods.select(*docs.columns, "businessType", "psr", "p.resolution", F.col("p.timeInterval.start").alias("begin"), F.explode("p.Point").alias("q"))

@@ -100,7 +100,8 @@ class OpenMeteoSource(DataSource):
 
     def request(self, start: dt.date, end: dt.date) -> str:
         """One document, with waits by the reason of a refusal and at most five tries."""
-        query = {"latitude": self.latitude, "longitude": self.longitude, "models": self.model, "start_date": str(start), "end_date": str(end), "hourly": [f"{c}_previous_day{i}" for c in self.columns for i in range(1, self.horizon + 1)]}
+        hourly = [f"{c}_previous_day{i}" for c in self.columns for i in range(1, self.horizon + 1)]
+        query = {"latitude": self.latitude, "longitude": self.longitude, "models": self.model, "start_date": str(start), "end_date": str(end), "hourly": hourly}
         for attempt in range(5):
             try:
                 body = self.transport(query)
@@ -125,5 +126,5 @@ class OpenMeteoSource(DataSource):
         a, b = dt.date.fromisoformat(str(start)[:10]), dt.date.fromisoformat(str(end)[:10]) + dt.timedelta(self.horizon - 1)
         docs = spark.createDataFrame([(i, self.request(*c)) for i, c in enumerate(self.chunks(a, b))], "chunk int, doc string")
         parts = parse_forecast(docs, self.columns, self.horizon, self.prefix, self.clock().strftime("%Y-%m-%d %H:%M:%S"))
-        whole = merge_chunks(parts)
-        return whole.filter(F.col("ts") <= F.to_timestamp(F.lit(str(end))))
+        # Days asked for beyond the end, so that the last days have all their forecasts, stay in the result.
+        return merge_chunks(parts)
