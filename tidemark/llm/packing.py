@@ -44,12 +44,15 @@ def pieces(docs: DataFrame, room: int = ROOM, end_id: int = 0, id_col: str = "do
                     head = len(ids) % room or min(room, len(ids))
                     bounds = [0, *range(head, len(ids) + 1, room)]
                     for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                        rows.append((serial, keys[first + i], k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype(np.int64)] if keep_ids else [])))
+                        own = [ids[a:b].astype(np.int64)] if keep_ids else []
+                        rows.append((serial, keys[first + i], k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *own))
                         serial += 1
-                yield pd.DataFrame(rows, columns=["uid", "id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]).astype({"id": batch["id"].dtype if batch["id"].notna().all() else object})
+                yield pd.DataFrame(rows, columns=["uid", "id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    schema = f"uid long, id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+    schema = "uid long, id string, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
+    # Ids as text: with a null among them pandas would make them floats.
+    found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+    return found.withColumn("id", F.col("id").cast(id_type))
 
 
 def best_fit(sizes: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

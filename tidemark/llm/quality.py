@@ -104,7 +104,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     def of(words: Column) -> Column:
         n = F.size(words).cast("long")
         at_least_one = F.greatest(n, F.lit(1))
-        return F.struct(n.alias("n_words"), at_least_one.alias("least_one"), repeat_words(words).alias("n_repeat_words"), F.size(F.filter(words, _is_stop)).alias("n_stop"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"))
+        return F.struct(
+            n.alias("n_words"), at_least_one.alias("least_one"), repeat_words(words).alias("n_repeat_words"),
+            F.size(F.filter(words, _is_stop)).alias("n_stop"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        )
 
     def of_lines(lines: Column) -> Column:
         return F.struct(

@@ -192,7 +192,8 @@ def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataF
                 if rows:
                     yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
 
-    return _files(spark, path).mapInPandas(parse, "file string, spot long, url string, date string, page_id long, payload_bytes long, payload_digest string" + (", head binary, payload binary" if with_payload else ""))
+    schema = "file string, spot long, url string, date string, page_id long, payload_bytes long, payload_digest string"
+    return _files(spark, path).mapInPandas(parse, schema + (", head binary, payload binary" if with_payload else ""))
 
 
 # WARC
