@@ -256,12 +256,19 @@ def classify(spans: DataFrame) -> tuple[DataFrame, dict]:
     for r in rows:
         true, false = total[r["f"].split(":", 1)[0]]
         weight[r["f"]] = math.log((r["p"] + 1) / (true + 2)) - math.log((r["n"] - r["p"] + 1) / (false + 2))
-    of = F.create_map(*[F.lit(x) for pair in sorted((weight | kinds).items()) for x in pair])
-    odds = F.aggregate("features", F.coalesce(F.element_at(of, F.col("kind")), F.lit(0.0)), lambda a, f: a + F.coalesce(F.element_at(of, f), F.lit(0.0)))
+    odds = F.lit(0.0)
+    for kind, prior in sorted(kinds.items()):  # a map of its own for each kind, as Spark looks through a map one by one
+        of = F.create_map(*[F.lit(x) for f, w in sorted(weight.items()) if f.startswith(f"{kind}:") for x in (f, w)])
+        odds = F.when(F.col("kind") == kind, _summed(of, prior)).otherwise(odds)
     scored = soft.withColumn("probability", 1 / (1 + F.exp(-odds))).select(*voted.columns, "probability")
     return scored, {k: {"prior": v[0], **dict(zip(names, v[1]))} for k, v in learned.items()}
 
 
+def _summed(of: Column, prior: float) -> Column:
+    """The prior's and all features' log-odds."""
+    return F.aggregate("features", F.lit(prior), lambda a, f: a + F.coalesce(F.element_at(of, f), F.lit(0.0)))
+
+
 def find(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (uid, id, spans, extra). Both are arrays of (start, place, kind, end) in order of start, then
     kind as listed in ``KINDS``: those of base kinds, and all."""
