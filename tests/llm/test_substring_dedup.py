@@ -89,6 +89,27 @@ def test_false_alarms_of_fingerprints_remove_nothing(spark, monkeypatch):
     assert bits == {5: [0, 1, 1, 1], 2: [0, 1, 0, 0]}
 
 
+def test_rows_come_in_another_order_at_each_reading(spark, monkeypatch):
+    """As a shuffle among several executors gives them."""
+    monkeypatch.setattr(sub, "sizes", lambda c: (4, 3))
+
+    def shaken(texts, n_chunks, dealt=sub._dealt):
+        out = dealt(texts, n_chunks)
+        return out.mapInPandas(lambda parts: (p.sample(frac=1, random_state=random.SystemRandom().randrange(2**32)) for p in parts), out.schema)
+
+    monkeypatch.setattr(sub, "_dealt", shaken)
+    rows = corpus(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sub.remove_repeats(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=key) == sorted(brute(rows), key=key)
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
+
+
 def test_string_ids_over_several_chunks(spark, monkeypatch):
     monkeypatch.setattr(sub, "sizes", lambda c: (4, 3))
     rows = [(None if i is None else f"doc-{i % 10**9:04d}", t) for i, t in corpus(40)]

@@ -11,7 +11,8 @@ each, set where the fingerprint occurs twice. Only these suffixes go to the tree
 false alarm costs space, nothing else. Documents are dealt to chunks by ranges of their ids, so the smallest chunk below
 a node holds its first document, and the group answers each chunk with one bit for each of its suffixes: whether a
 smaller chunk is below the same node. A passage that a third of all documents share costs one suffix for each chunk.
-Texts are shuffled once; a document of any length stays whole.
+Texts are shuffled once; a document of any length stays whole. A chunk is read three times, and a shuffle gives its
+rows in another order each time, so each reading puts them in order first: places of words mean the same in all.
 
 Defined cases: null and empty texts have no words and lose none. A null id counts as the largest; rows that share an
 id are one document's, so none of them is 'smaller'. Texts of under k words are left alone. Ids are of any type that
@@ -55,6 +56,21 @@ def sizes(chars: int) -> tuple[int, int]:
 # Suffixes of a chunk
 
 
+def _in_order(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """A chunk's rows by id, then text, whatever order they came in, and the ranks of their ids."""
+    rank, texts = _ranks(part["id"].to_numpy(), part["no_id"].to_numpy()), part["text"].tolist()
+    each = rank.tolist()
+    order = sorted(range(len(texts)), key=lambda i: (each[i], texts[i]))
+    return part.iloc[order].reset_index(drop=True), rank[order]
+
+
+def _ranks(ids: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Numbers in order of the ids; equal ids have one number, null ids the largest."""
+    out = np.full(len(ids), len(ids))
+    out[~none] = np.unique(ids[~none], return_inverse=True)[1]
+    return out
+
+
 def starts(words: Words, k: int) -> np.ndarray:
     """Where suffixes of k words or more begin."""
     room = np.repeat(words.ptr[1:], words.count) - np.arange(len(words.code)) >= k
@@ -358,7 +374,7 @@ def _suspects(dealt: DataFrame, k: int, heavy: dict[int, np.ndarray], names: lis
     drop = np.uint64(60 - CODE_BITS)
 
     def send(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        own = _Codes(part["text"].tolist(), k, heavy, len(names))
+        own = _Codes(_in_order(part)[0]["text"].tolist(), k, heavy, len(names))
         out = [(names[group], int(key[0]), *_pack(own.code[places] >> drop)) for group, places in own.parts()]
         return pd.DataFrame(out, columns=["group", "chunk", "n", "width", "data"])
 
@@ -396,7 +412,7 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
 
     def send(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """The chunk's suffixes for the trees by group, and for itself, as a group below 0, which they are."""
-        texts, chunk = part["text"].tolist(), int(key[0])
+        texts, chunk = _in_order(part)[0]["text"].tolist(), int(key[0])
         chosen = _chosen(texts, told, k, heavy, names)
         own, packer = _Suffixes(texts, chosen, k, heavy, n_groups, k), zstandard.ZstdCompressor(level=3)
         out = [(names[group], chunk, packer.compress(b"\n".join(own.strings[places[0] : places[-1] + 1]))) for group, places in own.parts()]
@@ -408,6 +424,7 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
         return pd.DataFrame([(chunk, group, bits) for chunk, bits in found], columns=["chunk", "group", "bits"])
 
     def cut(part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        part, rank = _in_order(part)
         texts, bits = part["text"].tolist(), dict(zip(told["group"], told["bits"]))
         mask = bits.get(-1 - int(part["chunk"].iloc[0]))
         chosen = np.zeros(0, bool) if mask is None else np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(mask), np.uint8)).astype(bool)
@@ -416,7 +433,7 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
         for group, places in own.parts():
             if names[group] in bits:
                 later[places] = np.unpackbits(np.frombuffer(bits[names[group]], np.uint8), count=len(places)).astype(bool)
-        covered = _covered(own, later, _ranks(part["id"].to_numpy(), part["no_id"].to_numpy()), k)
+        covered = _covered(own, later, rank, k)
         out = []
         for i, text in enumerate(texts):
             mine = covered[own.ptr[i] : own.ptr[i + 1]]
@@ -426,7 +443,7 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
             spans = [{"start": int(a), "end": int(b)} for a, b in zip(turn[0::2], turn[1::2])]
             out.append((len(words), int(mine.sum()), hashlib.sha256(kept).hexdigest(), spans, *([kept.decode("utf-8", "surrogatepass")] if with_text else [])))
         columns = ["n_words", "n_removed", "kept_sha256", "spans", *(["text"] if with_text else [])]
-        return pd.concat([part[["no_id", "id"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
+        return pd.concat([part[["no_id", "id"]], pd.DataFrame(out, columns=columns)], axis=1)
 
     suspects = _suspects(dealt, k, heavy, names)
     sent = dealt.groupBy("chunk").cogroup(suspects.groupBy("chunk")).applyInPandas(send, "group long, chunk int, data binary")
@@ -436,13 +453,6 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
     return done.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), *[c for c in done.columns if c not in ("no_id", "id")])
 
 
-def _ranks(ids: np.ndarray, none: np.ndarray) -> np.ndarray:
-    """Numbers in order of the ids; equal ids have one number, null ids the largest."""
-    out = np.full(len(ids), len(ids))
-    out[~none] = np.unique(ids[~none], return_inverse=True)[1]
-    return out
-
-
 def _covered(own: _Suffixes, later: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
     """For each word, whether a window covers it that also starts in a document before its own: in another chunk
     (``later``) or in this one."""
@@ -468,7 +478,7 @@ def maximal_repeats(docs: DataFrame, k: int = K, depth: int = 64, text_col: str
     dealt, names = _dealt(texts, min(n_chunks, max(rows, 1))), _apart(docs.sparkSession, n_groups, "long")
 
     def send(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        texts, chunk = part["text"].tolist(), int(key[0])
+        texts, chunk = _in_order(part)[0]["text"].tolist(), int(key[0])
         own = _Suffixes(texts, _chosen(texts, told, k, heavy, names), k, heavy, n_groups, depth)
         before = _words_before(texts, own)
         out = []
