@@ -89,6 +89,16 @@ def test_false_alarms_of_fingerprints_remove_nothing(spark, monkeypatch):
     assert bits == {5: [0, 1, 1, 1], 2: [0, 1, 0, 0]}
 
 
+def test_each_group_is_told_of_a_fingerprint_that_windows_share_by_chance(monkeypatch):
+    at, code = sub.fingerprints(w := words.fingerprint([" ".join(f"w{i % 70}" for i in range(200))]), 13)
+    few = code & np.uint64(1)
+    monkeypatch.setattr(sub, "fingerprints", lambda w, k: (at, few))
+    own = sub._Codes([w.raw.decode()], 13, {}, 7)
+    told = [(c, group) for group, places in own.parts() for c in own.code[places].tolist()]
+    assert sorted(told) == sorted(set(zip(few.tolist(), sub._groups(w, at, 13, {}, 7).tolist())))
+    assert (own.code[own.node] == few).all() and (own.group[own.node] == sub._groups(w, at, 13, {}, 7)).all()
+
+
 def test_rows_come_in_another_order_at_each_reading(spark, monkeypatch):
     """As a shuffle among several executors gives them."""
     monkeypatch.setattr(sub, "sizes", lambda c: (4, 3))

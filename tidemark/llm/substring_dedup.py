@@ -162,12 +162,15 @@ class _Codes:
             base += len(words.code)
         self.place, self.words, code, group = np.concatenate(places), base, np.concatenate(codes), np.concatenate(keys)
         order = np.argsort(code)
-        ranked = code[order]
+        ranked, dealt = code[order], group[order]
+        if ((ranked[1:] == ranked[:-1]) & (dealt[1:] != dealt[:-1])).any():  # by chance: each group is told
+            order = np.lexsort((group, code))
+            ranked, dealt = code[order], group[order]
         first = np.ones(len(ranked), bool)
-        first[1:] = ranked[1:] != ranked[:-1]
+        first[1:] = (ranked[1:] != ranked[:-1]) | (dealt[1:] != dealt[:-1])
         self.node = np.empty(len(code), np.int64)  # each suffix's fingerprint among the distinct ones
         self.node[order] = np.cumsum(first) - 1
-        self.code, self.group = ranked[first], group[order[first]]
+        self.code, self.group = ranked[first], dealt[first]
         self.by_group = np.argsort(self.group, kind="stable")
 
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
